@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assertia.llm.common import table
 
@@ -39,6 +40,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(planted))
 
 
+def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertia.llm.near_dup import classes
+
+    found = classes(table(spark, sf_dir, "documents"), shingle=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op4_decontamination": op4_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
+    "op8_minhash_near_dup": op8_minhash_near_dup,
     "op10_token_counts": op10_token_counts,
 }
 
