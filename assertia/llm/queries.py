@@ -25,6 +25,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertia.llm.common import bucket_of
+    from assertia.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    found = identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__unsure").alias("ambiguous"))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Per-conversation digests of formatted turns."""
     from assertia.llm.chat import canonical, format_turns, read_back, turn_records
@@ -58,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op10_token_counts": op10_token_counts,
