@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assertia.llm import line_dedup, mixing
 from assertia.llm.common import table
 
 
@@ -59,6 +60,20 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(planted))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertia.llm.mixing import replicate, shuffled
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return shuffled(replicate(docs)).withColumnsRenamed({"__copy": "copy", "__place": "place"})
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertia.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assertia.llm.near_dup import classes
 
@@ -80,11 +95,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_source_mixing": op7_source_mixing,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_source_mixing": mixing.oracle_sql(),
+    "op9_line_dedup": line_dedup.oracle_sql(),
     "op4_decontamination": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w, row_number() OVER () AS r FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
