@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assertia.llm import line_dedup, mixing
+from assertia.llm import license_scan, line_dedup, mixing
 from assertia.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertia.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assertia.llm.media import measured_columns, store
 
@@ -90,6 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_media_columns": op2_media_columns,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
     "op7_source_mixing": mixing.oracle_sql(),
     "op9_line_dedup": line_dedup.oracle_sql(),
     "op4_decontamination": r"""

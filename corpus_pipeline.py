@@ -3,8 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+#: A row goes only if it has no letter, or if no language holds this share of the decoded loss.
+LEAST_LANGUAGE_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is told; the bit classifiers learn from rows of ``docs`` with a language."""
+    from assertia.llm.language_id import UNKNOWN, identify
+
+    found = identify(docs, F.lit(True))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SHARE)).select(*_own(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; a text of which nothing is left goes."""
+    from assertia.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(docs).where("__dropped = 0 or length(trim(text)) > 0")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*_own(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, by shingles of five words."""
+    from assertia.llm.near_dup import deduplicate
+
+    return deduplicate(docs, shingle=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words is inside benchmark windows."""
+    from assertia.llm.decontaminate import contamination
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("__th", F.xxhash64("text")).withColumn("__k", F.struct(F.col("doc_id").alias("id"), F.col("__th").alias("th")))
+    found = contamination(keyed, benchmark, id_col="__k").where("contaminated").select(F.col("__k.id").alias("__id"), F.col("__k.th").alias("__t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))
+    return keyed.join(found, same, "left_anti").select(*_own(docs))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight has it, in a global shuffle."""
+    from assertia.llm.mixing import replicate, shuffled
+
+    return shuffled(replicate(docs)).withColumnsRenamed({"__copy": "copy", "__place": "place"})
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
 
 #: Language ID is a trained model, which SQL cannot express.
 ORACLE_SQL = None
