@@ -23,7 +23,7 @@ LANES = ("role", "kind", "rank", "bool", "num", "str", "entity", "delta_ref", "c
 @dataclass(frozen=True)
 class PointerSpec:
     """One pointer of a layout: its role, kind, lane (for primitives), the column that holds its value, and its context. A null value is
-    an absent pointer. ``constant``: the value is a literal instead."""
+    an absent pointer. ``constant``: the value is a literal instead; ``context_column``: the context is a column."""
 
     role: str
     kind: str
@@ -31,6 +31,10 @@ class PointerSpec:
     column: str = ""
     context: str | None = None
     constant: str | None = None
+    context_column: str = ""
+
+    def context_value(self) -> Column | None:
+        return F.col(self.context_column) if self.context_column else None if self.context is None else F.lit(self.context)
 
     def value(self) -> Column:
         return F.lit(self.constant) if self.constant is not None else F.col(self.column)
@@ -48,7 +52,7 @@ def pointer(role: Column, kind: str, *, lane: str = "", value: Column, context:
 
 
 def layout_pointers(layout: tuple[PointerSpec, ...]) -> Column:
-    each = [F.when(s.value().isNotNull(), pointer(F.lit(s.role), s.kind, lane=s.lane, value=s.value(), context=None if s.context is None else F.lit(s.context))) for s in layout]
+    each = [F.when(s.value().isNotNull(), pointer(F.lit(s.role), s.kind, lane=s.lane, value=s.value(), context=s.context_value())) for s in layout]
     return F.filter(F.array(*each), lambda p: p.isNotNull())
 
 

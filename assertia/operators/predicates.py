@@ -125,7 +125,11 @@ def spec_matches(spec: PointerSpec, pred: dict, root: Column | None) -> Column |
             if not str_matches(spec.role, want):
                 return None
         elif key == "context":
-            if spec.kind not in "ed" or not str_matches(spec.context, want):
+            if spec.kind not in "ed":
+                return None
+            if spec.context_column:
+                tests.append(str_match(F.col(spec.context_column), want))
+            elif not str_matches(spec.context, want):
                 return None
         elif key == "targetIsPrimitive":
             if (spec.kind == "p") != want:

@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assertia.functions.body import python_value, target_value
 from assertia.functions.canon import encode
@@ -32,7 +33,7 @@ def constant_value(x: Any) -> Column:
     return _value(F.lit(RANKS[lane]), *(F.lit(x) if lane == n else F.lit(None) for n in ("bool", "num", "str")), F.lit(None))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _complex(rest: pd.Series, nested: pd.Series) -> pd.Series:
     """Canonical bytes of a bytes leaf or of an object by role; null where a primitive lane serves."""
     out = []

@@ -55,18 +55,18 @@ def group(claims: ClaimSet, key: Any, roots: DataFrame | None) -> View:
         return View(df.select("root", prop, _negated(claims), *kept), roots, claims.layout)
     by_context = key == "byTargetContext"
     if claims.layout is not None:
-        specs = [s for s in claims.layout if s.kind == "e" and (s.context is not None or not by_context)]
+        specs = [s for s in claims.layout if s.kind == "e" and (s.context_value() is not None or not by_context)]
         parts = []
         for s in specs:
             filed = df.where(s.value() == F.col("root")) if claims.rooted else df.where(s.value().isNotNull()).withColumn("root", s.value())
-            parts.append(filed.select("root", F.lit(s.context if by_context else s.role).alias("prop"), _negated(claims), *kept))
+            parts.append(filed.select("root", (s.context_value() if by_context else F.lit(s.role)).alias("prop"), _negated(claims), *kept))
         if not parts:
             return View(df.select(F.lit("").alias("root"), F.lit("").alias("prop"), _negated(claims), *kept).where(F.lit(False)), roots, claims.layout)
-        names = {(s.value(), s.context if by_context else s.role) for s in specs}
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        if len(names) == len(specs) and len({n for _, n in names}) < len(specs):
+        names = [s.context if by_context else s.role for s in specs]
+        if len(set(names)) < len(names) or (by_context and len(specs) > 1 and any(s.context_column for s in specs)):
             out = out.dropDuplicates(["root", "prop", "id"])
     else:
         name = "context" if by_context else "role"

@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assertia.functions.blake3 import content_addresses
 from assertia.functions.body import claim_body
@@ -102,7 +103,7 @@ def claim_set(spark: SparkSession, claims: list[dict]) -> ClaimSet:
     return ClaimSet(spark.createDataFrame(list(out.values()), CLAIM_DDL))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_id(author: pd.Series, timestamp: pd.Series, pointers: pd.Series) -> pd.Series:
     """Content addresses of claim rows, a batch at a time."""
     return pd.Series(content_addresses([encode(claim_body(a, t, p)) for a, t, p in zip(author, timestamp, pointers, strict=True)]), dtype=object)
