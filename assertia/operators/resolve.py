@@ -131,7 +131,7 @@ def policy_column(policy: dict) -> tuple[Column, Column]:
     if tag == "pick":
         return F.min_by("value", _sort_key(body["order"])), no_items
     if tag in ("all", "conflicts"):
-        items = F.transform(F.array_sort(F.collect_list(_sort_key(body["order"], F.col("value").alias("v")))), lambda x: x["v"])
+        items = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), _sort_key(body["order"], F.col("value").alias("v"))))), lambda x: x["v"])
         if tag == "conflicts" or body.get("distinct"):
             items = F.array_distinct(items)
         return F.lit(None).cast(VALUE), F.when(F.size(items) >= (2 if tag == "conflicts" else 1), items)
