@@ -13,6 +13,10 @@ recurring templates may be broadcast, by Spark's own size threshold, once it is
 Defined results: null text stays null and an empty one empty; lines of fewer than ``MIN_TOKENS`` tokens stay; repetitions within one
 document do not count; repeated rows are one document; a null id is one document, never the least; empty tables give no rows; other columns
 are kept as they are.
+
+``dedup_shared_lines``, which the pipeline uses, counts otherwise: each distinct whole text that holds a template is one vote, whatever lines stand
+beside it, and copies of a text add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
+near-duplicate detection.
 """
 
 from __future__ import annotations
@@ -64,6 +68,64 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = materialize(line_templates(docs, id_col, text_col), "lines")
     often = materialize(recurring(lines, min_docs), "templates")
     gone = lines.select("doc", "th", "pos", F.explode("templates").alias("t")).join(often, "t").where(~F.col("doc").eqNullSafe(F.col("first")))
+    return _without(docs, gone, id_col, text_col)
+
+
+def shared_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, th, same, pos, n, leaf, s)`` of every line that may recur: its text's identity, tokens, place in the tree and normal form."""
+    lines = F.transform(F.split(_normal(F.col(text_col)), "\n", -1), lambda s: F.trim(s))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), _identity(F.col(text_col)).alias("same"), F.posexplode(lines).alias("pos", "s"))
+    w = F.split("s", " ", -1)
+    placed = rows.withColumn("n", F.size(w)).withColumn("leaf", F.xxhash64("n", F.slice(w, 1, LEAD)))
+    return placed.where(F.col("n") >= MIN_TOKENS).select("doc", "th", "same", "pos", "n", "leaf", "s")
+
+
+def _identity(text: Column) -> Column:
+    """Equal for whole texts that are copies."""
+    return F.xxhash64(text)
+
+
+def _least(n: Column, min_docs: int) -> Column:
+    """Votes that a template of ``n`` tokens needs."""
+    return F.lit(min_docs)
+
+
+def _templates() -> Column:
+    """Templates of a line ``s`` of ``n`` tokens."""
+    w, wide = F.split("s", " ", -1), []
+    for g in range(SEGMENTS):
+        low, high = _bounds(F.col("n"), g)
+        wide.append(F.xxhash64("n", F.lit(g), F.slice(w, F.lit(1), low), F.slice(w, high + 1, F.col("n") - high)))
+    whole = F.xxhash64("n", F.lit(-1), w)
+    return F.when(F.col("n") >= WIDE, F.array(whole, *wide)).otherwise(F.array(whole))
+
+
+def voted(spots: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(t, first, kept)``: templates of enough distinct texts, the least document id that has each, and that one's text.
+
+    A text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts."""
+    in_text = spots.groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("n").alias("n"))
+    in_doc = in_text.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("n").alias("n"))
+    least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same")))
+    total = in_doc.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("n").alias("n"))
+    return total.where(F.col("votes") >= _least(F.col("n"), min_docs)).select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"))
+
+
+def dedup_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """As ``dedup_lines``, for lines that enough distinct texts share."""
+    lines = materialize(shared_lines(docs, id_col, text_col), "lines")
+    # all templates of a line lie below its leaf, so that a leaf of too few texts has none that recurs
+    texts = lines.select("leaf", "n", "same").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"))
+    leaves = texts.where(F.col("texts") >= _least(F.col("n"), min_docs)).select("leaf")
+    some = materialize(lines.join(leaves, "leaf", "left_semi"), "leaves")
+    spots = materialize(some.select("doc", "th", "same", "pos", "n", F.explode(_templates()).alias("t")), "spots")
+    often = materialize(voted(spots, min_docs), "templates")
+    keeps = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
+    return _without(docs, spots.join(often, "t").where(~keeps), id_col, text_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the lines at ``(doc, th, pos)``."""
     spots = gone.groupBy(F.xxhash64("doc", "th").alias("__k"), F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     keyed = docs.withColumn("__t", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__t")))
     same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__th"))

@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a text of which nothing is left goes."""
-    from assertia.llm.line_dedup import dedup_lines
+    from assertia.llm.line_dedup import dedup_shared_lines
 
-    found = dedup_lines(docs).where("__dropped = 0 or length(trim(text)) > 0")
+    found = dedup_shared_lines(docs).where("__dropped = 0 or length(trim(text)) > 0")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*_own(docs))

@@ -1,0 +1,31 @@
+"""The pipeline's line dedup: lines that distinct texts share, beside copies, in blocks, long and short, with variable fields."""
+
+import corpus_pipeline as P
+
+LINE = "please share this page with all your friends"
+
+
+def after(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text for r in P.line_dedup(spark, df, "").collect()}
+
+
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_copies_do_not_spare_a_line(spark):
+    rows = [(i, f"start of {word(i)}\n{LINE}\nend of {word(i)}") for i in range(6)]
+    rows += [(100 + i, f"a text in copies\n{LINE}\nits last line") for i in range(30)]
+    out = after(spark, rows)
+    assert [i for i, t in out.items() if LINE in t] == [0]
+    assert len({out[100 + i] for i in range(30)}) == 1 and "a text in copies" in out[100]
+    out = after(spark, [(i + 1000 * (i < 100), t) for i, t in rows])
+    assert {i for i, t in out.items() if LINE in t} == set(range(100, 130))  # copies of the least id's text stay copies
+    assert all(t == dict(rows)[i] for i, t in after(spark, rows[6:]).items())  # one text in copies has no vote but its own
+
+
+def test_ids_of_no_one(spark):
+    rows = [(None, f"n {word(i)}\n{LINE}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(LINE in r.text for r in P.line_dedup(spark, df, "").collect())
