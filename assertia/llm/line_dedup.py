@@ -15,7 +15,7 @@ document do not count; repeated rows are one document; a null id is one document
 are kept as they are.
 
 ``dedup_shared_lines``, which the pipeline uses, counts otherwise: each distinct whole text that holds a template is one vote, whatever lines stand
-beside it, and copies of a text add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
+beside it, and copies of a text (but for blanks and blank lines) add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
 near-duplicate detection.
 """
 
@@ -81,8 +81,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _identity(text: Column) -> Column:
-    """Equal for whole texts that are copies."""
-    return F.xxhash64(text)
+    """Equal for whole texts that are copies but for blanks and blank lines."""
+    return F.xxhash64(F.trim(F.regexp_replace(text, "\\s+", " ")))
 
 
 def _least(n: Column, min_docs: int) -> Column:

@@ -29,3 +29,16 @@ def test_ids_of_no_one(spark):
     rows = [(None, f"n {word(i)}\n{LINE}") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(LINE in r.text for r in P.line_dedup(spark, df, "").collect())
+
+
+def test_paragraphs_and_blocks(spark):
+    block = "first line of a footer\nthe footer goes on here\nand here is its end"
+    rows = [(i, f"begin of {word(i)}\n\n{LINE}\n\nmore of {word(i)}\n{block}") for i in range(6)]
+    out = after(spark, rows)
+    assert out[0] == rows[0][1]
+    assert all(out[i] == f"begin of {word(i)}\n\n\nmore of {word(i)}" for i in range(1, 6))
+
+
+def test_copies_that_differ_in_blanks(spark):
+    rows = [(i, "a text in copies" + "\n" * (i + 1) + LINE + " " * i) for i in range(8)]
+    assert after(spark, rows) == dict(rows)
