@@ -16,7 +16,8 @@ are kept as they are.
 
 ``dedup_shared_lines``, which the pipeline uses, counts otherwise: each distinct whole text that holds a template is one vote, whatever lines stand
 beside it, and copies of a text (but for blanks and blank lines) add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
-near-duplicate detection.
+near-duplicate detection. Lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on, but not in a text that is a near copy of the one that keeps them; lines of fewer than ``MIN_TOKENS`` count too where they
+have a letter and no variable field.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from assertia.llm.common import materialize
 
 LEAD, SEGMENTS, WIDE = 2, 4, 8
 MIN_TOKENS, MIN_DOCS = 4, 5
+#: Shared lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on.
+LONG, LONG_DOCS = 50, 2
+#: Texts with this share of their tokens in common lines (of the tokens in either's) are near copies.
+NEAR = 0.8
 
 
 def _normal(text: Column) -> Column:
@@ -77,7 +82,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), _identity(F.col(text_col)).alias("same"), F.posexplode(lines).alias("pos", "s"))
     w = F.split("s", " ", -1)
     placed = rows.withColumn("n", F.size(w)).withColumn("leaf", F.xxhash64("n", F.slice(w, 1, LEAD)))
-    return placed.where(F.col("n") >= MIN_TOKENS).select("doc", "th", "same", "pos", "n", "leaf", "s")
+    named = F.col("s").rlike("\\p{L}") & ~F.array_contains(w, "*")
+    return placed.where((F.col("n") >= MIN_TOKENS) | named).select("doc", "th", "same", "pos", "n", "leaf", "s")
 
 
 def _identity(text: Column) -> Column:
@@ -87,7 +93,7 @@ def _identity(text: Column) -> Column:
 
 def _least(n: Column, min_docs: int) -> Column:
     """Votes that a template of ``n`` tokens needs."""
-    return F.lit(min_docs)
+    return F.when(n > LONG, F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
 
 
 def _templates() -> Column:
@@ -101,14 +107,25 @@ def _templates() -> Column:
 
 
 def voted(spots: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(t, first, kept)``: templates of enough distinct texts, the least document id that has each, and that one's text.
+    """``(t, first, kept, few)``: templates of enough distinct texts, the least document id that has each, that one's text, and whether texts are fewer than ``min_docs``.
 
     A text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts."""
     in_text = spots.groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("n").alias("n"))
     in_doc = in_text.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("n").alias("n"))
     least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same")))
     total = in_doc.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("n").alias("n"))
-    return total.where(F.col("votes") >= _least(F.col("n"), min_docs)).select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"))
+    return total.where(F.col("votes") >= _least(F.col("n"), min_docs)).select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"), (F.col("votes") < min_docs).alias("few"))
+
+
+def _near_copies(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of the pairs ``(same, kept)`` of texts that have most of their lines in common."""
+    texts = pairs.select("same").union(pairs.select("kept")).distinct()
+    sets = lines.join(texts, "same", "left_semi").select("same", F.xxhash64("s").alias("h"), "n").distinct()
+    total = sets.groupBy("same").agg(F.sum("n").alias("total"))
+    other = sets.select(F.col("same").alias("kept"), "h")
+    common = pairs.join(sets, "same").join(other, ["kept", "h"]).groupBy("same", "kept").agg(F.sum("n").alias("common"))
+    sized = common.join(total, "same").join(total.select(F.col("same").alias("kept"), F.col("total").alias("also")), "kept")
+    return sized.where(F.col("common") >= NEAR * (F.col("total") + F.col("also") - F.col("common"))).select("same", "kept")
 
 
 def dedup_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -121,7 +138,9 @@ def dedup_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spots = materialize(some.select("doc", "th", "same", "pos", "n", F.explode(_templates()).alias("t")), "spots")
     often = materialize(voted(spots, min_docs), "templates")
     keeps = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
-    return _without(docs, spots.join(often, "t").where(~keeps), id_col, text_col)
+    gone = materialize(spots.join(often, "t").where(~keeps).select("doc", "th", "pos", "same", "kept", "few"), "gone")
+    near = _near_copies(gone.where("few").select("same", "kept").distinct(), lines).withColumn("few", F.lit(True))
+    return _without(docs, gone.join(near, ["same", "kept", "few"], "left_anti"), id_col, text_col)
 
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -42,3 +42,20 @@ def test_paragraphs_and_blocks(spark):
 def test_copies_that_differ_in_blanks(spark):
     rows = [(i, "a text in copies" + "\n" * (i + 1) + LINE + " " * i) for i in range(8)]
     assert after(spark, rows) == dict(rows)
+
+
+def test_long_and_short_lines(spark):
+    passage = " ".join(f"w{word(i)}" for i in range(51))
+    less = " ".join(f"v{word(i)}" for i in range(50))
+    rows = [(i, f"own {word(i)} text\n{passage}\n" + "\n".join(f"as only {word(i)} has it {word(k)}" for k in range(9))) for i in range(2)]
+    rows += [(40 + i, f"text {word(i)} is own\n{less}\n" + "\n".join(f"and only {word(i)} had it {word(k)}" for k in range(9))) for i in range(2)]
+    rows += [(10 + i, f"here is {word(i)} now\nAll rights reserved.\n}}\n12 apples\nthat was {word(i)}") for i in range(6)]
+    rows += [(20 + i, f"here we have {word(i)}\nNo rights reserved.\nthat was it {word(i)}") for i in range(4)]
+    near = " ".join(f"x{word(i)}" for i in range(60))
+    rows += [(30 + i, f"lines here {word(i)} differ\n{near}\n" + "\n".join(f"but not the other line {word(k)}" for k in range(9))) for i in range(2)]
+    out = after(spark, rows)
+    assert all(out[30 + i] == dict(rows)[30 + i] for i in range(2))  # near copies are left to near_dedup
+    assert out[0] == dict(rows)[0] and out[1] == dict(rows)[1].replace(f"{passage}\n", "")
+    assert out[10] == dict(rows)[10]
+    assert all(out[10 + i] == dict(rows)[10 + i].replace("All rights reserved.\n", "") for i in range(1, 6))
+    assert all(out[k + i] == dict(rows)[k + i] for k, n in ((20, 4), (40, 2)) for i in range(n))
