@@ -17,7 +17,9 @@ are kept as they are.
 ``dedup_shared_lines``, which the pipeline uses, counts otherwise: each distinct whole text that holds a template is one vote, whatever lines stand
 beside it, and copies of a text (but for blanks and blank lines) add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
 near-duplicate detection. Lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on, but not in a text that is a near copy of the one that keeps them; lines of fewer than ``MIN_TOKENS`` count too where they
-have a letter and no variable field.
+have a letter and no variable field. Besides the fixed segments, every place of a line of ``MIN_TOKENS`` or more whose values vary within its leaf (token count
+and leading tokens) may be variable, up to a quarter of the line; templates with
+variable places need ``min_docs`` texts at any length.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LEAD, SEGMENTS, WIDE = 2, 4, 8
 MIN_TOKENS, MIN_DOCS = 4, 5
 #: Shared lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on.
 LONG, LONG_DOCS = 50, 2
+#: At most a quarter of a line's places are marked variable in its leaf, and at least half of all must stay words.
+OPEN, FIXED = 4, 2
 #: Texts with this share of their tokens in common lines (of the tokens in either's) are near copies.
 NEAR = 0.8
 
@@ -92,12 +96,12 @@ def _identity(text: Column) -> Column:
 
 
 def _least(n: Column, min_docs: int) -> Column:
-    """Votes that a template of ``n`` tokens needs."""
+    """Votes that a whole line of ``n`` tokens needs."""
     return F.when(n > LONG, F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
 
 
 def _templates() -> Column:
-    """Templates of a line ``s`` of ``n`` tokens."""
+    """Templates of a line ``s`` of ``n`` tokens, the whole line first."""
     w, wide = F.split("s", " ", -1), []
     for g in range(SEGMENTS):
         low, high = _bounds(F.col("n"), g)
@@ -106,15 +110,38 @@ def _templates() -> Column:
     return F.when(F.col("n") >= WIDE, F.array(whole, *wide)).otherwise(F.array(whole))
 
 
+def leaf_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(h, need, texts, t)``: templates of lines with the places marked variable whose values vary within the leaf.
+
+    A place is variable if too few texts of the leaf have its value there; or, one place at a time, though enough have it, since values of
+    two fields may recur and their pairs not. A template is the xor of its places' hashes, so that opening a place costs no new pass."""
+    words = held.where(F.col("n") >= MIN_TOKENS).select("leaf", "n", "h", "texts", F.posexplode(F.split("s", " ", -1)).alias("i", "w"))
+    often = words.groupBy("leaf", "n", "i", "w").agg(F.sum("texts").alias("held")).where(F.col("held") >= min_docs)
+    marked = words.join(often.select("leaf", "i", "w", F.col("w").alias("v")), ["leaf", "i", "w"], "left").withColumn("v", F.coalesce("v", F.lit("*")))
+    is_word, place = F.col("v") != "*", F.xxhash64("i", "v")
+    turn = F.when(is_word & (F.col("i") >= LEAD), place.bitwiseXOR(F.xxhash64("i", F.lit("*"))))
+    opened, fixed = F.count_if(~is_word & (F.col("w") != "*")), F.count_if(is_word)
+    by_line = marked.groupBy("leaf", "n", "h", "texts").agg(F.bit_xor(place).alias("key"), opened.alias("opened"), fixed.alias("fixed"), F.collect_list(turn).alias("turns"))
+
+    def fits(more: int) -> Column:
+        return ((F.col("opened") + more) * OPEN <= F.col("n")) & ((F.col("fixed") - more) * FIXED >= F.col("n"))
+
+    none = F.array().cast("array<bigint>")
+    own = F.when(fits(0) & (F.col("opened") > 0), F.array("key")).otherwise(none)
+    turned = F.when(fits(1), F.transform("turns", lambda x: x.bitwiseXOR(F.col("key")))).otherwise(none)
+    found = by_line.select("h", "texts", "n", "leaf", F.explode(F.concat(own, turned)).alias("key"))
+    return found.select("h", F.lit(min_docs).alias("need"), "texts", F.xxhash64("n", F.lit(-2), "leaf", "key").alias("t"))
+
+
 def voted(spots: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(t, first, kept, few)``: templates of enough distinct texts, the least document id that has each, that one's text, and whether texts are fewer than ``min_docs``.
 
     A text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts."""
-    in_text = spots.groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("n").alias("n"))
-    in_doc = in_text.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("n").alias("n"))
+    in_text = spots.groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("need").alias("need"))
+    in_doc = in_text.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("need").alias("need"))
     least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same")))
-    total = in_doc.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("n").alias("n"))
-    return total.where(F.col("votes") >= _least(F.col("n"), min_docs)).select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"), (F.col("votes") < min_docs).alias("few"))
+    total = in_doc.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("need").alias("need"))
+    return total.where("votes >= need").select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"), (F.col("votes") < min_docs).alias("few"))
 
 
 def _near_copies(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -134,8 +161,14 @@ def dedup_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # all templates of a line lie below its leaf, so that a leaf of too few texts has none that recurs
     texts = lines.select("leaf", "n", "same").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"))
     leaves = texts.where(F.col("texts") >= _least(F.col("n"), min_docs)).select("leaf")
-    some = materialize(lines.join(leaves, "leaf", "left_semi"), "leaves")
-    spots = materialize(some.select("doc", "th", "same", "pos", "n", F.explode(_templates()).alias("t")), "spots")
+    of_line = lines.join(leaves, "leaf", "left_semi").select("leaf", "n", "s", "same").distinct().groupBy("leaf", "n", "s").agg(F.count(F.lit(1)).alias("texts"))
+    held = materialize(of_line.withColumn("h", F.xxhash64("s")), "held")
+    fixed = held.select("h", "n", "texts", F.posexplode(_templates()).alias("g", "t"))
+    need = F.when(F.col("g") == 0, _least(F.col("n"), min_docs)).otherwise(F.lit(min_docs))
+    found = materialize(fixed.select("h", need.alias("need"), "texts", "t").unionByName(leaf_templates(held, min_docs)), "candidates")
+    live = found.groupBy("t", "need").agg(F.sum("texts").alias("texts")).where("texts >= need").select("t")
+    lived = found.join(live, "t", "left_semi").select("h", "need", "t")
+    spots = materialize(lines.withColumn("h", F.xxhash64("s")).join(lived, "h").select("doc", "th", "same", "pos", "need", "t"), "spots")
     often = materialize(voted(spots, min_docs), "templates")
     keeps = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
     gone = materialize(spots.join(often, "t").where(~keeps).select("doc", "th", "pos", "same", "kept", "few"), "gone")

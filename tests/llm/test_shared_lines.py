@@ -49,8 +49,8 @@ def test_long_and_short_lines(spark):
     less = " ".join(f"v{word(i)}" for i in range(50))
     rows = [(i, f"own {word(i)} text\n{passage}\n" + "\n".join(f"as only {word(i)} has it {word(k)}" for k in range(9))) for i in range(2)]
     rows += [(40 + i, f"text {word(i)} is own\n{less}\n" + "\n".join(f"and only {word(i)} had it {word(k)}" for k in range(9))) for i in range(2)]
-    rows += [(10 + i, f"here is {word(i)} now\nAll rights reserved.\n}}\n12 apples\nthat was {word(i)}") for i in range(6)]
-    rows += [(20 + i, f"here we have {word(i)}\nNo rights reserved.\nthat was it {word(i)}") for i in range(4)]
+    rows += [(10 + i, f"{word(i)} is here now\nAll rights reserved.\n}}\n12 apples\nthat was {word(i)}") for i in range(6)]
+    rows += [(20 + i, f"{word(i)} we have here\nNo rights reserved.\n{word(i)} that was it") for i in range(4)]
     near = " ".join(f"x{word(i)}" for i in range(60))
     rows += [(30 + i, f"lines here {word(i)} differ\n{near}\n" + "\n".join(f"but not the other line {word(k)}" for k in range(9))) for i in range(2)]
     out = after(spark, rows)
@@ -59,3 +59,18 @@ def test_long_and_short_lines(spark):
     assert out[10] == dict(rows)[10]
     assert all(out[10 + i] == dict(rows)[10 + i].replace("All rights reserved.\n", "") for i in range(1, 6))
     assert all(out[k + i] == dict(rows)[k + i] for k, n in ((20, 4), (40, 2)) for i in range(n))
+
+
+def test_fields_without_digits(spark):
+    def name(i):
+        return f"n{word(i)}"
+
+    short = [(i, f"own {word(i)} a\nwelcome back dear {name(i)} again\nlast {word(i)} b") for i in range(6)]
+    apart = [(10 + i, f"own {word(i)} c\nuser logged in {name(i)} from the place p{word(i)}\nlast {word(i)} d") for i in range(6)]
+    pairs = [(100 + 10 * i + k, f"{word(i)} {word(k)} its e\nwe saw that {name(i)} came from the town of t{word(k)} then\n{word(i)} {word(k)} of f") for i in range(6) for k in range(6)]
+    prose = [(200 + i, f"it {word(i)} g\nit is a {name(i)} and {word(i)} day\nof {word(i)} h") for i in range(6)]
+    out = after(spark, short + apart + pairs + prose)
+    for rows in (short, apart, pairs):
+        assert out[rows[0][0]] == rows[0][1]
+        assert all(out[i] == "\n".join(t.split("\n")[::2]) for i, t in rows[1:])
+    assert all(out[i] == t for i, t in prose)  # over a quarter of the places vary
