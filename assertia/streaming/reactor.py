@@ -20,8 +20,6 @@ from assertia.plans.registry import Registry
 from assertia.plans.tables import shared_dir, written
 from assertia.plans.term import nodes, parse_schema, parse_term
 
-DEPTH = 64
-
 
 def anchored(term: Any) -> bool:
     """Whether a change can only touch the roots its own entity pointers (or a negation chain) name."""
@@ -75,12 +73,14 @@ class Reactor:
         log = self.log().df
         found = new
         reached = new.select("id", "pointers")
-        for _ in range(DEPTH):
+        seen = new.select("id")
+        while True:
             targets = F.transform(F.filter("pointers", lambda p: (p["role"] == NEGATES) & (p["kind"] == "d")), lambda p: p["delta_ref"])
             named = reached.select(F.explode(targets).alias("id")).distinct()
-            reached = written(log.join(named, "id", "left_semi").select(*COLUMNS), "reached")
+            reached = written(log.join(named, "id", "left_semi").join(seen, "id", "left_anti").select(*COLUMNS), "reached")
             if reached.isEmpty():
                 break
+            seen = written(seen.union(reached.select("id")), "seen")
             found = found.unionByName(reached)
         entities = F.transform(F.filter("pointers", lambda p: p["kind"] == "e"), lambda p: p["entity"])
         return found.select(F.explode(entities).alias("root")).distinct()

@@ -198,3 +198,13 @@ def test_derivation_modes(spark):
         kept = Planner(log).plan(parse_term({"op": "select", "pred": {"hasPointer": {"role": {"exact": "total"}}}, "in": {"op": "mask", "policy": "drop", "in": "input"}}))
         assert kept.df.count() == n, mode
     assert Planner(first).plan(mask).df.count() == 2
+
+
+def test_touched_follows_long_chains(spark, tmp_path):
+    chain = [about("a", "x", 1)]
+    for i in range(66):
+        chain.append(negation(address(chain[-1]), at=10 + i))
+    reactor = Reactor(spark, TERM, SCHEMA)
+    claim_set(spark, chain).df.coalesce(1).write.parquet(str(tmp_path / "log"))
+    reactor.batches.append(str(tmp_path / "log"))
+    assert [r.root for r in reactor.touched(claim_set(spark, chain[-1:]).df).collect()] == ["a"]
