@@ -190,17 +190,16 @@ def header_columns(index: DataFrame, folder: str) -> DataFrame:
 
 def _measure(f, offset: int, length: int) -> tuple:
     media = f.read_at(length, offset)
-    width, height, _, _ = png_header(media[:HEADER])
     payload = decode_png(media)
-    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
 
 
-MEASURED = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
+MEASURED = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def measured_columns(index: DataFrame, folder: str) -> DataFrame:
-    """Reads whole members back: payload and media digests, sample feature and header columns."""
-    return _ranged(index, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long", MEASURED, _measure)
+    """Header columns from 33 bytes, then whole members read back: payload and media digests and sample feature."""
+    return _ranged(header_columns(index, folder), folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", MEASURED, _measure)
 
 
 def read_payload(folder: str, shard: str, offset: int, length: int) -> bytes:

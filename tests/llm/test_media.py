@@ -43,3 +43,11 @@ def test_store_and_read_back(spark):
 def test_empty(spark):
     index, folder = M.store(spark.createDataFrame([], "doc_id long, text string"))
     assert M.measured_columns(index, folder).count() == 0
+
+
+def test_measured_columns_take_headers_from_short_reads(spark, monkeypatch):
+    index, folder = M.store(spark.createDataFrame(ROWS, "doc_id long, text string"))
+    asked, own = [], M.header_columns
+    monkeypatch.setattr(M, "header_columns", lambda *a: asked.append(a) or own(*a))
+    got = M.measured_columns(index, folder).collect()
+    assert len(asked) == 1 and {(r.width, r.depth, r.colour) for r in got} == {(64, 8, 2)}
