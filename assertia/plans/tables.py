@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a fresh local folder where that is unset."""
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``. Unset, a local session gets a temporary one;
+    on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="assertia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/assertia/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assertia/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut, its size is known, and a lost executor costs no recomputation."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
