@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,28 +9,39 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assertia.plans.tables import fresh_path, shared_dir  # noqa: F401  one definition of the shared folder
+from assertia.plans.tables import written as materialize
+
 #: Rows are cut into pieces of about this many text bytes before Python objects are made of them.
 SLICE_BYTES = 4 << 20
 
+#: The one column that holds all columns of an input while an operator works beside them, so that no name of the input can clash.
+ROW = "row"
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``more``; ``unpacked`` undoes it."""
+    return docs.select(F.struct(*(own(c) for c in docs.columns)).alias(ROW), *more)
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="assertia-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def unpacked(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(f"{ROW}.*", *more)
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/assertia/{label}-{uuid.uuid4().hex}"
+def own(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(docs: DataFrame, *labels: str) -> list[str]:
+    """Names for new columns, close to the labels, that ``docs`` does not have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for label in labels:
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        out.append(label)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
