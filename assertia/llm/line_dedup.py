@@ -1,211 +1,154 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's tokens (split at blanks; a token with a digit is a variable field, ``*``) lead down a tree of fixed depth: token count, then the
-first ``LEAD`` tokens. Below, a line belongs to the template of all its tokens and, with at least ``WIDE`` tokens, to ``SEGMENTS``
-generalised templates, each leaving one segment of its later positions variable. A template recurs if at least ``MIN_DOCS``
-documents have it, amid neighbouring lines that differ in at least half as many ways: what recurs
-because whole documents are copies keeps its neighbours and is left to near-duplicate detection. A line with a recurring template is dropped
-from all documents but the one of least id.
-
-Templates are 64-bit hashes; counts are partial sums, so a line that a third of all rows share loads no single task. Only the table of
-recurring templates may be broadcast, by Spark's own size threshold, once it is written.
-
-Defined results: null text stays null and an empty one empty; lines of fewer than ``MIN_TOKENS`` tokens stay; repetitions within one
-document do not count; repeated rows are one document; a null id is one document, never the least; empty tables give no rows; other columns
-are kept as they are.
-
-``dedup_shared_lines``, which the pipeline uses, counts otherwise: each distinct whole text that holds a template is one vote, whatever lines stand
-beside it, and copies of a text (but for blanks and blank lines) add none. Texts equal to that of the least id keep the line with it, so that they stay copies for
-near-duplicate detection. Lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on, but not in a text that is a near copy of the one that keeps them; lines of fewer than ``MIN_TOKENS`` count too where they
-have a letter and no variable field. Besides the fixed segments, every place of a line of ``MIN_TOKENS`` or more whose values vary within its leaf (token count
-and leading tokens) may be variable, up to a quarter of the line; templates with
-variable places need ``min_docs`` texts at any length.
+A line's tokens (split at blanks; a token with a digit is a variable field, ``*``) lead down a tree of fixed depth: the token count, then the first
+``LEAD`` tokens. Within a leaf, a token's support at a place is the number of (text, line) pairs of the leaf that have it there. A field's values
+have less support than the words around it, whatever the field, so the places of a line are made variable in the order of their support: every
+level at which support changes gives a template, as long as at most one place in ``OPEN`` is variable and at least one in ``FIXED`` stays a word.
+The template with no variable place is the whole line; lines of fewer than ``MIN_TOKENS`` tokens have that one only, and only if they have a letter
+and no token with a digit.
+
+A template recurs if ``MIN_DOCS`` distinct texts have it; a whole line of more than ``LONG`` tokens recurs from ``LONG_DOCS`` texts on. Whatever stands beside a
+line, it counts; texts that are equal but for blanks and blank lines are one text. Recurring lines are dropped from all documents but the one of least id and those whose
+text equals that one's: exact copies of a document lose the same lines and stay copies, for near-duplicate detection to find.
+
+Only leaves of enough texts are looked into, since all templates of a line lie below its leaf. Counts are partial sums and templates are 64-bit
+hashes, so a line that a third of all rows share loads no single task; what may be broadcast are written tables, by Spark's own size threshold.
+
+Not found: fields among the leading tokens unless they have a digit, fields in more than a quarter of a line, fields of several tokens whose number varies.
+
+Defined results: null text stays null and an empty one empty; blank lines stay; repetitions within one document do not count; repeated rows are
+one text; rows without an id are one vote and never the least; ties of texts under one least id go to the least text hash; empty tables give no rows; other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assertia.llm.common import materialize
+from assertia.llm.common import ROW, materialize, own, packed
 
-LEAD, SEGMENTS, WIDE = 2, 4, 8
-MIN_TOKENS, MIN_DOCS = 4, 5
-#: Shared lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on.
+LEAD, MIN_TOKENS, MIN_DOCS = 2, 4, 5
+#: Whole lines of more than ``LONG`` tokens recur from ``LONG_DOCS`` texts on.
 LONG, LONG_DOCS = 50, 2
-#: At most a quarter of a line's places are marked variable in its leaf, and at least half of all must stay words.
+#: At most one place in ``OPEN`` is made variable, and at least one in ``FIXED`` stays a word.
 OPEN, FIXED = 4, 2
-#: Texts with this share of their tokens in common lines (of the tokens in either's) are near copies.
-NEAR = 0.8
-
-
-def _normal(text: Column) -> Column:
-    """Blanks collapsed and tokens with digits masked; line ends stay."""
-    return F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " "), "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+", "*")
-
-
-def _bounds(n: Column, g: int) -> tuple[Column, Column]:
-    rest = n - LEAD
-    return (F.floor(rest * g / SEGMENTS) + LEAD).cast("int"), (F.floor(rest * (g + 1) / SEGMENTS) + LEAD).cast("int")
-
-
-def line_templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, th, pos, ctx, templates)`` of every line with enough tokens."""
-    lines = F.transform(F.split(_normal(F.col(text_col)), "\n", -1), lambda s: F.trim(s))
-    hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), lines.alias("m")).withColumn("h", F.transform("m", lambda s: F.xxhash64(s)))
-    context = F.transform("h", lambda x, i: F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(1)), F.coalesce(F.get("h", i + 1), F.lit(2))))
-    rows = hashed.select("doc", "th", F.posexplode(F.arrays_zip(F.col("m").alias("s"), context.alias("ctx"))).alias("pos", "l"))
-    split = rows.select("doc", "th", "pos", F.col("l.ctx").alias("ctx"), F.split("l.s", " ", -1).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= MIN_TOKENS)
-    wide = []
-    for g in range(SEGMENTS):
-        low, high = _bounds(F.col("n"), g)
-        wide.append(F.xxhash64("n", F.lit(g), F.slice("w", F.lit(1), low), F.slice("w", high + 1, F.col("n") - high)))
-    whole = F.xxhash64("n", F.lit(-1), "w")
-    return split.select("doc", "th", "pos", "ctx", F.when(F.col("n") >= WIDE, F.array(whole, *wide)).otherwise(F.array(whole)).alias("templates"))
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(t, first)``: templates of enough documents and contexts, and the least document id that has each."""
-    in_doc = lines.select(F.explode("templates").alias("t"), "doc", "pos", "ctx").groupBy("t", "doc").agg(F.min_by("ctx", "pos").alias("ctx"))
-    in_context = in_doc.groupBy("t", "ctx").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    total = in_context.groupBy("t").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts"), F.min("first").alias("first"))
-    return total.where((F.col("docs") >= min_docs) & (F.col("contexts") * 2 >= F.col("docs"))).select("t", "first")
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, and ``__lines`` and ``__dropped`` counts."""
-    lines = materialize(line_templates(docs, id_col, text_col), "lines")
-    often = materialize(recurring(lines, min_docs), "templates")
-    gone = lines.select("doc", "th", "pos", F.explode("templates").alias("t")).join(often, "t").where(~F.col("doc").eqNullSafe(F.col("first")))
-    return _without(docs, gone, id_col, text_col)
-
-
-def shared_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, th, same, pos, n, leaf, s)`` of every line that may recur: its text's identity, tokens, place in the tree and normal form."""
-    lines = F.transform(F.split(_normal(F.col(text_col)), "\n", -1), lambda s: F.trim(s))
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), _identity(F.col(text_col)).alias("same"), F.posexplode(lines).alias("pos", "s"))
-    w = F.split("s", " ", -1)
-    placed = rows.withColumn("n", F.size(w)).withColumn("leaf", F.xxhash64("n", F.slice(w, 1, LEAD)))
-    named = F.col("s").rlike("\\p{L}") & ~F.array_contains(w, "*")
-    return placed.where((F.col("n") >= MIN_TOKENS) | named).select("doc", "th", "same", "pos", "n", "leaf", "s")
+def _lines(text: Column) -> Column:
+    """A text's lines, blanks collapsed."""
+    return F.transform(F.split(F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " "), "\n", -1), lambda s: F.trim(s))
 
 
-def _identity(text: Column) -> Column:
-    """Equal for whole texts that are copies but for blanks and blank lines."""
-    return F.xxhash64(F.trim(F.regexp_replace(text, "\\s+", " ")))
+def _masked(line: Column) -> Column:
+    """Tokens with a digit as ``*``."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "*")).otherwise(line)
 
 
-def _least(n: Column, min_docs: int) -> Column:
-    """Votes that a whole line of ``n`` tokens needs."""
+def _need(n: Column, min_docs: int) -> Column:
+    """Texts in which a whole line of ``n`` tokens must stand."""
     return F.when(n > LONG, F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
 
 
-def _templates() -> Column:
-    """Templates of a line ``s`` of ``n`` tokens, the whole line first."""
-    w, wide = F.split("s", " ", -1), []
-    for g in range(SEGMENTS):
-        low, high = _bounds(F.col("n"), g)
-        wide.append(F.xxhash64("n", F.lit(g), F.slice(w, F.lit(1), low), F.slice(w, high + 1, F.col("n") - high)))
-    whole = F.xxhash64("n", F.lit(-1), w)
-    return F.when(F.col("n") >= WIDE, F.array(whole, *wide)).otherwise(F.array(whole))
-
-
-def leaf_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(h, need, texts, t)``: templates of lines with the places marked variable whose values vary within the leaf.
-
-    A place is variable if too few texts of the leaf have its value there; or, one place at a time, though enough have it, since values of
-    two fields may recur and their pairs not. A template is the xor of its places' hashes, so that opening a place costs no new pass."""
-    words = held.where(F.col("n") >= MIN_TOKENS).select("leaf", "n", "h", "texts", F.posexplode(F.split("s", " ", -1)).alias("i", "w"))
-    often = words.groupBy("leaf", "n", "i", "w").agg(F.sum("texts").alias("held")).where(F.col("held") >= min_docs)
-    marked = words.join(often.select("leaf", "i", "w", F.col("w").alias("v")), ["leaf", "i", "w"], "left").withColumn("v", F.coalesce("v", F.lit("*")))
-    is_word, place = F.col("v") != "*", F.xxhash64("i", "v")
-    turn = F.when(is_word & (F.col("i") >= LEAD), place.bitwiseXOR(F.xxhash64("i", F.lit("*"))))
-    opened, fixed = F.count_if(~is_word & (F.col("w") != "*")), F.count_if(is_word)
-    by_line = marked.groupBy("leaf", "n", "h", "texts").agg(F.bit_xor(place).alias("key"), opened.alias("opened"), fixed.alias("fixed"), F.collect_list(turn).alias("turns"))
+def tree_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, th, same, pos, n, leaf, h, s)`` of every line that may recur: whose it is, its text's identity, its tokens, leaf, hash and (for long enough ones) normal form."""
+    lines = docs.select(own(id_col).alias("doc"), F.xxhash64(own(text_col).cast("string")).alias("th"), _lines(own(text_col).cast("string")).alias("lines"))
+    # equal for texts that are copies but for blanks and blank lines; found once a text, not once a line
+    named = lines.select("doc", "th", "lines", F.xxhash64(F.filter("lines", lambda s: s != "")).alias("same"))
+    rows = named.select("doc", "th", "same", F.posexplode("lines").alias("pos", "s")).withColumn("s", _masked(F.col("s")))
+    w = F.split("s", " ", -1)
+    placed = rows.withColumn("n", F.size(w)).where((F.col("n") >= MIN_TOKENS) | (F.col("s").rlike("\\p{L}") & ~F.array_contains(w, "*")))
+    return placed.select("doc", "th", "same", "pos", "n", F.xxhash64("n", F.slice(w, 1, LEAD)).alias("leaf"), F.xxhash64("s").alias("h"), F.when(F.col("n") >= MIN_TOKENS, F.col("s")).alias("s"))
 
-    def fits(more: int) -> Column:
-        return ((F.col("opened") + more) * OPEN <= F.col("n")) & ((F.col("fixed") - more) * FIXED >= F.col("n"))
 
-    none = F.array().cast("array<bigint>")
-    own = F.when(fits(0) & (F.col("opened") > 0), F.array("key")).otherwise(none)
-    turned = F.when(fits(1), F.transform("turns", lambda x: x.bitwiseXOR(F.col("key")))).otherwise(none)
-    found = by_line.select("h", "texts", "n", "leaf", F.explode(F.concat(own, turned)).alias("key"))
-    return found.select("h", F.lit(min_docs).alias("need"), "texts", F.xxhash64("n", F.lit(-2), "leaf", "key").alias("t"))
+def level_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(h, texts, t)``: templates with variable places of distinct lines ``(leaf, n, h, s, texts)``.
 
+    A template is its leaf and the xor of its places' hashes; a running xor in the order of support gives those of all levels at once."""
+    words = held.select("leaf", "n", "h", "texts", F.posexplode(F.split("s", " ", -1)).alias("i", "w"))
+    places = words.select("leaf", "n", "h", "texts", F.xxhash64("i", "w").alias("p"), (F.col("w") != "*").cast("int").alias("word"))
+    # less support than a template needs is as good as none
+    often = places.groupBy("leaf", "p").agg(F.sum("texts").alias("c")).where(F.col("c") >= min_docs)
+    known = places.join(often, ["leaf", "p"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    line = W.partitionBy("leaf", "h")
+    so_far = line.orderBy("c").rangeBetween(W.unboundedPreceding, W.currentRow)
+    total, opened = F.bit_xor("p").over(line), F.bit_xor("p").over(so_far)
+    levels = known.select("leaf", "n", "h", "texts", "c", total.bitwiseXOR(opened).alias("key"), F.count(F.lit(1)).over(so_far).alias("open"), (F.sum("word").over(line) - F.sum("word").over(so_far)).alias("fixed"))
+    fit = levels.where((F.col("open") * OPEN <= F.col("n")) & (F.col("fixed") * FIXED >= F.col("n"))).dropDuplicates(["leaf", "h", "c"])
+    return fit.select("h", "texts", F.xxhash64("leaf", "key").alias("t"))
 
-def voted(spots: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(t, first, kept, few)``: templates of enough distinct texts, the least document id that has each, that one's text, and whether texts are fewer than ``min_docs``.
 
-    A text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts."""
-    in_text = spots.groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("need").alias("need"))
-    in_doc = in_text.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("need").alias("need"))
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The written table ``(h, first, kept)``: for each line that has recurring templates, the keepers of these: their least document id and its text."""
+    texts = lines.select("leaf", "n", "same").distinct().groupBy("leaf").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    whole = lines.groupBy("h", "n", "same").agg(F.min("doc").alias("doc"))
+    counted = whole.groupBy("h", "n").agg(F.count(F.lit(1)).alias("texts"))
+    exact = materialize(counted.where(F.col("texts") >= _need(F.col("n"), min_docs)).select("h", F.xxhash64(F.lit("whole"), "h").alias("t"), _need(F.col("n"), min_docs).alias("need")), "whole")
+    hot = materialize(texts.where((F.col("n") >= MIN_TOKENS) & (F.col("texts") >= min_docs)).select("leaf"), "leaves")
+    held = lines.join(hot, "leaf", "left_semi").select("leaf", "n", "h", "s", "same").distinct().groupBy("leaf", "n", "h").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("texts"))
+    found = materialize(level_templates(held, min_docs), "levels")
+    live = found.groupBy("t").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs).select("t")
+    of_line = materialize(exact.unionByName(found.join(live, "t", "left_semi").select("h", "t", F.lit(min_docs).alias("need"))), "templates")
+    # a text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts
+    votes = whole.select("h", "same", "doc").join(of_line, "h").groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("need").alias("need"))
+    once = votes.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("need").alias("need"))
     least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same")))
-    total = in_doc.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("need").alias("need"))
-    return total.where("votes >= need").select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept"), (F.col("votes") < min_docs).alias("few"))
-
-
-def _near_copies(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of the pairs ``(same, kept)`` of texts that have most of their lines in common."""
-    texts = pairs.select("same").union(pairs.select("kept")).distinct()
-    sets = lines.join(texts, "same", "left_semi").select("same", F.xxhash64("s").alias("h"), "n").distinct()
-    total = sets.groupBy("same").agg(F.sum("n").alias("total"))
-    other = sets.select(F.col("same").alias("kept"), "h")
-    common = pairs.join(sets, "same").join(other, ["kept", "h"]).groupBy("same", "kept").agg(F.sum("n").alias("common"))
-    sized = common.join(total, "same").join(total.select(F.col("same").alias("kept"), F.col("total").alias("also")), "kept")
-    return sized.where(F.col("common") >= NEAR * (F.col("total") + F.col("also") - F.col("common"))).select("same", "kept")
-
-
-def dedup_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """As ``dedup_lines``, for lines that enough distinct texts share."""
-    lines = materialize(shared_lines(docs, id_col, text_col), "lines")
-    # all templates of a line lie below its leaf, so that a leaf of too few texts has none that recurs
-    texts = lines.select("leaf", "n", "same").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"))
-    leaves = texts.where(F.col("texts") >= _least(F.col("n"), min_docs)).select("leaf")
-    of_line = lines.join(leaves, "leaf", "left_semi").select("leaf", "n", "s", "same").distinct().groupBy("leaf", "n", "s").agg(F.count(F.lit(1)).alias("texts"))
-    held = materialize(of_line.withColumn("h", F.xxhash64("s")), "held")
-    fixed = held.select("h", "n", "texts", F.posexplode(_templates()).alias("g", "t"))
-    need = F.when(F.col("g") == 0, _least(F.col("n"), min_docs)).otherwise(F.lit(min_docs))
-    found = materialize(fixed.select("h", need.alias("need"), "texts", "t").unionByName(leaf_templates(held, min_docs)), "candidates")
-    live = found.groupBy("t", "need").agg(F.sum("texts").alias("texts")).where("texts >= need").select("t")
-    lived = found.join(live, "t", "left_semi").select("h", "need", "t")
-    spots = materialize(lines.withColumn("h", F.xxhash64("s")).join(lived, "h").select("doc", "th", "same", "pos", "need", "t"), "spots")
-    often = materialize(voted(spots, min_docs), "templates")
-    keeps = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
-    gone = materialize(spots.join(often, "t").where(~keeps).select("doc", "th", "pos", "same", "kept", "few"), "gone")
-    near = _near_copies(gone.where("few").select("same", "kept").distinct(), lines).withColumn("few", F.lit(True))
-    return _without(docs, gone.join(near, ["same", "kept", "few"], "left_anti"), id_col, text_col)
-
-
-def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the lines at ``(doc, th, pos)``."""
-    spots = gone.groupBy(F.xxhash64("doc", "th").alias("__k"), F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__t", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__t")))
-    same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__th"))
-    split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda p: F.get(split, p)), "\n"))
-    joined = keyed.join(spots, same, "left")
-    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped")]
-    return joined.select(*((text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns), *counts)
+    total = once.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("need").alias("need"))
+    keepers = materialize(total.where("votes >= need").select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept")), "keepers")
+    return materialize(of_line.join(keepers, "t").select("h", "first", "kept").distinct(), "recurring")
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, names: Iterable[str] = ("__lines", "__dropped")) -> DataFrame:
+    """``docs`` with recurring lines taken out of the text, and counts (columns ``names``, which ``docs`` must not have) of its lines and those dropped."""
+    lines = materialize(tree_lines(docs, id_col, text_col), "lines")
+    often = recurring(lines, min_docs)
+    kept = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
+    spots = lines.select("doc", "th", "same", "pos", "h").join(often, "h").where(~kept)
+    gone = spots.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))  # as many as one text has lines
+    text = own(text_col).cast("string")
+    keyed = packed(docs, text.alias("text"), own(id_col).alias("id"), F.xxhash64(text).alias("th")).withColumn("k", F.xxhash64("id", "th"))
+    joined = keyed.join(gone.select(F.xxhash64("doc", "th").alias("k"), "doc", F.col("th").alias("of"), "gone"), "k", "left")
+    # two keys of one hash: the wrong one's lines stay
+    mine = F.col("id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("of"))
+    split = F.split("text", "\n", -1)
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda p: F.get(split, p)), "\n")
+    new = F.when(F.col("gone").isNull() | ~mine, F.col("text")).otherwise(left)
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), F.coalesce(F.when(mine, F.size("gone")), F.lit(0)).cast("long")]
+    return joined.select(*((new if c == text_col else F.col(ROW)[c]).alias(c) for c in docs.columns), *(x.alias(n) for x, n in zip(counts, names, strict=True)))
+
+
+#: The pipeline's former name of the operator.
+dedup_shared_lines = dedup_lines
 
 
 def oracle_sql(min_docs: int = MIN_DOCS) -> str:
-    """The same in DuckDB SQL over ``documents`` with unique ids."""
+    """The same in DuckDB SQL over ``documents`` with unique ids, written from the definition: places counted one by one and templates as texts."""
     return rf"""
-WITH l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[ \t\r\f\x0B]+', ' ', 'g'), '[^ \n]*[0-9][^ \n]*', '*', 'g'), chr(10)) AS m FROM documents),
-r AS (SELECT doc_id, unnest(generate_series(1, len(m))) AS pos, m FROM l),
-s AS (SELECT doc_id, pos, trim(m[pos], ' ') AS s, coalesce('=' || trim(m[pos - 1], ' '), '-') || chr(10) || coalesce('=' || trim(m[pos + 1], ' '), '-') AS ctx FROM (SELECT * FROM r WHERE pos > 0)),
-w AS (SELECT doc_id, pos, ctx, string_split(s, ' ') AS w, len(string_split(s, ' ')) AS n FROM s),
-t AS (SELECT doc_id, pos, ctx, n || ':-1:' || array_to_string(w, ' ') AS t FROM w WHERE n >= {MIN_TOKENS}
-  UNION ALL SELECT doc_id, pos, ctx, n || ':' || g || ':' || array_to_string(w[1:{LEAD} + (n - {LEAD}) * g // {SEGMENTS}], ' ') || ' * ' || array_to_string(w[{LEAD} + (n - {LEAD}) * (g + 1) // {SEGMENTS} + 1:n], ' ')
-  FROM w, (SELECT unnest(generate_series(0, {SEGMENTS - 1})) AS g) WHERE n >= {WIDE}),
-d AS (SELECT t, doc_id, arg_min(ctx, pos) AS ctx FROM t GROUP BY t, doc_id),
-o AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t HAVING count(*) >= {min_docs} AND count(DISTINCT ctx) * 2 >= count(*)),
-gone AS (SELECT DISTINCT t.doc_id, pos FROM t JOIN o USING (t) WHERE t.doc_id <> first),
-kept AS (SELECT r.doc_id, string_agg(d.x, chr(10) ORDER BY r.pos) AS text FROM (SELECT doc_id, pos FROM r) r
-  JOIN (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS x FROM documents) d USING (doc_id, pos)
-  ANTI JOIN gone USING (doc_id, pos) GROUP BY r.doc_id)
-SELECT doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(len(string_split(documents.text, chr(10))), 0)::BIGINT AS n_lines,
-  (SELECT count(*) FROM gone WHERE gone.doc_id = documents.doc_id)::BIGINT AS n_dropped
-FROM documents LEFT JOIN kept USING (doc_id)
+WITH b AS (SELECT doc_id, regexp_replace(text, '[ \t\r\f\x0B]+', ' ', 'g') AS text FROM documents),
+x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS same, string_split(regexp_replace(text, '[^ \n]*[0-9][^ \n]*', '*', 'g'), chr(10)) AS m FROM b),
+l AS (SELECT doc_id, same, pos, trim(m[pos], ' ') AS s FROM (SELECT doc_id, same, m, unnest(generate_series(1, len(m))) AS pos FROM x)),
+w AS (SELECT *, string_split(s, ' ') AS w, len(string_split(s, ' ')) AS n FROM l),
+line AS (SELECT doc_id, same, pos, s, n, w, (n || ' ' || array_to_string(w[1:{LEAD}], ' ')) AS leaf FROM w
+  WHERE n >= {MIN_TOKENS} OR (regexp_matches(s, '\p{{L}}') AND NOT list_contains(w, '*'))),
+held AS (SELECT leaf, n, s, any_value(w) AS w, count(DISTINCT same) AS texts FROM line GROUP BY leaf, n, s),
+deep AS (SELECT * FROM held WHERE n >= {MIN_TOKENS} AND leaf IN (SELECT leaf FROM line GROUP BY leaf HAVING count(DISTINCT same) >= {min_docs})),
+place AS (SELECT leaf, n, s, unnest(generate_series(1, n)) AS i, unnest(w) AS word, texts FROM deep),
+support AS (SELECT leaf, i, word, sum(texts) AS c FROM place GROUP BY leaf, i, word),
+known AS (SELECT leaf, n, s, i, word, CASE WHEN c >= {min_docs} THEN c ELSE 0 END AS c FROM place JOIN support USING (leaf, i, word)),
+level AS (SELECT DISTINCT leaf, n, s, c AS v FROM known),
+opened AS (SELECT leaf, n, s, v, list(CASE WHEN c <= v THEN NULL ELSE word END ORDER BY i) AS t, count(*) FILTER (WHERE c <= v) AS open, count(*) FILTER (WHERE c > v AND word <> '*') AS fixed
+  FROM level JOIN known USING (leaf, n, s) GROUP BY leaf, n, s, v),
+t AS (SELECT leaf, n, s, 'whole' AS t, CASE WHEN n > {LONG} THEN {min(LONG_DOCS, min_docs)} ELSE {min_docs} END AS need, s AS of FROM held
+  UNION ALL SELECT leaf, n, s, 'level', {min_docs}, to_json(t)::VARCHAR FROM opened WHERE open * {OPEN} <= n AND fixed * {FIXED} >= n),
+spot AS (SELECT DISTINCT line.doc_id, line.same, line.pos, t.leaf, t.t, t.of, t.need FROM line JOIN t USING (leaf, n, s)),
+often AS (SELECT leaf, t, of, min(doc_id) AS first, arg_min(same, doc_id) AS kept FROM spot GROUP BY leaf, t, of HAVING count(DISTINCT same) >= any_value(need)),
+gone AS (SELECT DISTINCT doc_id, pos FROM spot JOIN often USING (leaf, t, of) WHERE doc_id <> first AND same <> kept),
+raw AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS s FROM documents),
+left_ AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY pos) AS text FROM raw ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN left_ USING (doc_id) LEFT JOIN n USING (doc_id)
 """
