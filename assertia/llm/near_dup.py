@@ -6,16 +6,17 @@ similarity 0.8 and the defaults, a pair shares a key with probability 0.998.
 
 1. One pass over the texts writes each row's shingle count, set key and sub-keys. Rows of equal sets are one node from here on.
 2. Each bucket links its members to its least node; these candidate links are confirmed on full sets.
-3. Where a bucket still holds nodes of different components, all nodes outside the largest component of the group of
-   such buckets are compared with all its nodes, in blocks, inside tasks that emit confirmed links only.
+3. Where a bucket still holds nodes of different components, the nodes outside its largest component are compared with all its
+   nodes, in blocks, inside tasks that emit confirmed links only. Buckets that share components form a group; a group is compared as one where that moves
+   fewer rows than its buckets one by one (near copies share dozens of buckets; texts that share a footer share few).
 4. Components of the confirmed links give each row the least document id it can reach.
 
 No candidate pair is dropped and no bucket is capped; steps 2 and 3 emit rows in proportion to nodes and links, not to
-pairs. Hot buckets and hot sets are only aggregated with partial sums and joined (splittable by skew handling).
+pairs, and the work of step 3 is bounded by candidate pairs, those that share a bucket. Hot buckets and hot sets are only aggregated with partial sums and joined (splittable by skew handling).
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; fewer words than a shingle
 are one shingle; repeated rows and repeated ids are one node if their sets are equal; a null id reaches the least non-null id; an
-empty table gives no rows; other columns are not read by ``classes`` and are kept by ``deduplicate``.
+empty table gives no rows; other columns, whatever their names, are not read by ``classes`` and are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assertia.llm.common import column, materialize, slices, texts
+from assertia.llm.common import column, materialize, packed, slices, texts, unpacked
+from assertia.llm.common import own as named
 from assertia.llm.components import components
 
 SUBKEYS, ROWS, SIMILARITY_PERCENT = 10, 3, 80
@@ -145,8 +147,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between different components of a group: ``candidates`` are ``(grp, node, comp, minor)``. Blocks of minor nodes
-    meet blocks of all nodes of their group; a task emits one link for each minor node and component."""
+    """Confirmed links between different components of a unit: ``candidates`` are ``(unit, node, comp, minor)``. Blocks of minor nodes
+    meet blocks of all nodes of their unit; a task emits one link for each minor node and component."""
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
@@ -168,11 +170,34 @@ def _rest(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     sized = candidates.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
-    counts = sized.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("all_blocks"), F.greatest(F.lit(1), F.ceil(F.sum("minor") / BLOCK)).alias("minor_blocks"))
-    placed = sized.join(counts, "grp").join(sets, "node")
-    minors = placed.where("minor = 1").select("grp", F.pmod("slot", "minor_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"), "node", "comp", "set")
-    everyone = placed.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("x"), F.pmod("slot", "all_blocks").alias("y"), F.lit(1).alias("side"), "node", "comp", "set")
-    return minors.unionByName(everyone).groupBy("grp", "x", "y").applyInPandas(block, "u long, v long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("all_blocks"), F.greatest(F.lit(1), F.ceil(F.sum("minor") / BLOCK)).alias("minor_blocks")
+    counts = materialize(sized.groupBy("unit").agg(*blocks), "units")
+    placed = sized.join(counts, "unit").join(sets, "node")
+    minors = placed.where("minor = 1").select("unit", F.pmod("slot", "minor_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"), "node", "comp", "set")
+    everyone = placed.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("x"), F.pmod("slot", "all_blocks").alias("y"), F.lit(1).alias("side"), "node", "comp", "set")
+    return minors.unionByName(everyone).groupBy("unit", "x", "y").applyInPandas(block, "u long, v long")
+
+
+def _units(open_: DataFrame) -> DataFrame:
+    """``(unit, node, comp, minor)``: what is compared with each other, of the open buckets' members ``(key, node, comp, least)``. A unit is a group of
+    buckets, or one bucket, whichever moves fewer rows for the group."""
+    groups = components(open_.select(F.col("comp").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("comp"), F.col("comp").alias("grp"))
+    members = materialize(open_.select("key", "node", "comp").join(groups, "comp"), "members")
+
+    def parted(units: DataFrame) -> DataFrame:
+        sizes = units.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("unit").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
+        moved = F.col("rest") * F.ceil(F.col("all") / BLOCK) + F.col("all") * F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))
+        main = materialize(main.select("unit", "main", moved.alias("moved")), "mains")
+        return units.join(main, "unit").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
+
+    by_group = parted(members.select(F.xxhash64(F.lit("group"), "grp").alias("unit"), "grp", "node", "comp").distinct())
+    by_bucket = parted(members.select(F.xxhash64(F.lit("bucket"), "key").alias("unit"), "grp", "node", "comp"))
+    one = by_group.select("grp", "unit", "moved").distinct().select("grp", F.col("moved").alias("as_one"))
+    each = by_bucket.select("grp", "unit", "moved").distinct().groupBy("grp").agg(F.sum("moved").alias("as_buckets"))
+    way = materialize(one.join(each, "grp").select("grp", (F.col("as_buckets") < F.col("as_one")).alias("bucketwise")), "ways")
+    columns = ("unit", "node", "comp", "minor")
+    return by_group.join(way.where("not bucketwise"), "grp").select(*columns).unionByName(by_bucket.join(way.where("bucketwise"), "grp").select(*columns))
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int, subkeys: int, percent: int) -> DataFrame:
@@ -188,12 +213,8 @@ def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shin
     inside = nodes.join(wanted, "node", "left_semi").join(label, "node", "left").select("node", "subs", F.coalesce("comp", "node").alias("comp"))
     keys = _buckets(inside, subkeys, "comp")
     mixed = keys.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key", "least")
-    open_ = materialize(keys.join(mixed, "key").select("node", "comp", "least").distinct(), "open")
-    groups = components(open_.select(F.col("comp").alias("u"), F.col("least").alias("v")))
-    members = open_.select("node", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("comp").alias("grp")), "comp")
-    main = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("main"))
-    candidates = members.join(main, "grp").select("grp", "node", "comp", (F.col("comp") != F.col("main")).cast("int").alias("minor"))
-    second = materialize(_rest(candidates, sets, percent), "links")
+    open_ = materialize(keys.join(mixed, "key").select("key", "node", "comp", "least").distinct(), "open")
+    second = materialize(_rest(_units(open_), sets, percent), "links")
     return first.unionByName(second)
 
 
@@ -204,8 +225,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     least = full.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.first("subs").alias("subs"))
     nodes = materialize(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     label = components(links(docs, nodes, id_col=id_col, text_col=text_col, shingle=shingle, subkeys=subkeys, percent=percent))
-    own = nodes.select("node", "set_key", "rep").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = own.groupBy("comp").agg(F.min("rep").alias("best"))
+    own = materialize(nodes.select("node", "set_key", "rep").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labels")
+    best = materialize(own.groupBy("comp").agg(F.min("rep").alias("best")), "best")  # written, so that the join on a hot component can be split
     of_set = own.join(best, "comp").select("set_key", "best")
     out = sig.select("id", "th", "n", "set_key").join(of_set, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("best.id"))
@@ -216,8 +237,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows that stay: one of each component, and every row without words; columns as they came."""
     staying = classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("stays").groupBy("id", "th", "n_shingles").count()
-    staying = staying.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.when(F.col("n_shingles") > 0, 1).otherwise(F.col("count")).alias("__copies"), F.xxhash64("id", "th").alias("__k"))
-    rows = docs.withColumn("__t", F.xxhash64(text_col)).withColumn("__k", F.xxhash64(F.col(id_col), F.col("__t")))
-    found = rows.join(staying, "__k").where(F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")))
-    single = found.where("__copies = 1").dropDuplicates(["__k", "__id", "__th"])
-    return single.unionByName(found.where("__copies > 1")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    staying = staying.select(F.xxhash64("id", "th").alias("k"), F.col("id").alias("of"), F.col("th").alias("of_th"), F.when(F.col("n_shingles") > 0, 1).otherwise(F.col("count")).alias("copies"))
+    rows = packed(docs, named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("th")).withColumn("k", F.xxhash64("id", "th"))
+    found = rows.join(staying, "k").where(F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    single = found.where("copies = 1").dropDuplicates(["k", "of", "of_th"])
+    return unpacked(single.unionByName(found.where("copies > 1")))

@@ -24,7 +24,7 @@ def u(*parts):
 
 
 def test_counts_follow_the_inverted_distribution(spark):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string").selectExpr("*", "1 as rate", "2 as chars", "map(1, 2) as cdf")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string").selectExpr("*", "1 as rate", "2 as chars", "map(1, 2) as cdf", "3 as `__n`", "4 as base", "5 as of", "6 as id", "7 as `row`", "8 as copy", "9 as `x.y`")
     chars = Counter()
     for _, t, s in ROWS:
         chars[s] += len(t or "")
@@ -35,6 +35,7 @@ def test_counts_follow_the_inverted_distribution(spark):
     assert out.columns == [*df.columns, "__copy", "__place"]
     rows = out.collect()
     assert Counter((r.doc_id, r.text, r.source, r["__copy"]) for r in rows) == want
+    assert all((r.rate, r.chars, r.cdf, r["__n"], r.base, r.of, r.id, r.row, r.copy, r["x.y"]) == (1, 2, {1: 2}, 3, 4, 5, 6, 7, 8, 9) for r in rows)
     assert all(r["__place"] == u(r.doc_id, r["__copy"], SEED) for r in rows)
     assert replicate(df.limit(0)).count() == 0
 
@@ -56,3 +57,34 @@ def poisson_large(at, rate):
         k += 1
         total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
     return k
+
+
+def test_a_rate_of_a_million(spark):
+    """One row of a source of two characters in a corpus whose other source has a billion's weight: found in a short array."""
+    import time
+
+    from assertia.llm import mixing
+
+    df = spark.createDataFrame([(i, "y" * 1_000_000, "big") for i in range(4)] + [(9, "zz", "tiny")], "doc_id long, text string, source string")
+    began = time.time()
+    [row] = [r for r in mixing.source_rates(df, {"tiny": 0.5, "big": 0.0}).collect() if r.source == "tiny"]
+    assert row.rate == pytest.approx(1_000_000, rel=1e-5) and len(row.cdf) < 24_100 and row.cdf[0] < 1e-25 and row.cdf[-1] == pytest.approx(1, abs=1e-7)
+    assert time.time() - began < 60
+    n = mixing.replicate(df, {"tiny": 0.5, "big": 0.0}).count()
+    at = u(9, SEED)
+    assert abs(n - (row.rate + 1000 * _normal_quantile(at))) < 5
+
+
+def _normal_quantile(p):
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+def test_log_factorial(spark):
+    from pyspark.sql import functions as F
+
+    from assertia.llm.mixing import log_factorial
+
+    rows = spark.createDataFrame([(float(k),) for k in (0, 1, 2, 3, 9, 10, 40, 1000, 10**6)], "k double").select("k", log_factorial(F.col("k")).alias("x")).collect()
+    assert all(abs(r.x - math.lgamma(r.k + 1)) < 1e-12 * max(1, r.k * 20) for r in rows)

@@ -1,4 +1,6 @@
+import os
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -58,11 +60,53 @@ def test_block_comparison_finds_what_leaders_miss(spark, monkeypatch):
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
 
 
+def test_texts_that_share_a_footer(spark, monkeypatch):
+    """Unrelated texts with one footer of 60 words make one group of buckets, in which few share a bucket: compared bucket by bucket."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = random.Random(8)
+    footer = " ".join(f"foot{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) + " " + footer) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + f" and{i}") for i in range(0, 400, 20)]
+    seen = []
+
+    def spied(candidates, sets, percent, rest=N._rest):
+        seen.append(candidates.groupBy("unit").agg({"node": "count", "minor": "sum"}).collect())
+        return rest(candidates, sets, percent)
+
+    monkeypatch.setattr(N, "_rest", spied)
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
+    [units] = seen
+    assert sum(u["sum(minor)"] * u["count(node)"] for u in units) < 400 * 400 / 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_over_the_test_table(spark):
+    """Every pair of texts at 0.8 or more, found by an inverted index in plain Python, is in one component."""
+    from assertia.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            holders[x].append(i)
+    component = {r.doc_id: r.component_id for r in QUERIES["op8_minhash_near_dup"](spark, "/root/testdata/sf0.01").collect()}
+    links = found = 0
+    for i, own in sets.items():
+        for j, n in Counter(j for x in own for j in holders[x] if j < i).items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                links += 1
+                found += component[i] == component[j]
+    assert links > 100 and found >= 0.99 * links
+
+
 def test_deduplicate(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "A b c d e f g"), (3, None), (3, None), (4, ""), (None, "p q r s t"), (1, "a b c d e f g"), (9, "alone here now then so")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'k' as __kk")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'k' as __k", "2 as `__t`", "3 as `__id`", "4 as `__copies`", "5 as id", "6 as th", "7 as k", "8 as `row`", "9 as copies", "10 as `a.b`")
     out = N.deduplicate(df)
     assert out.columns == df.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {(1, "k", 2, 3, 4, 5, 6, 7, 8, 9, 10)}
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "p q r s t"), (1, "a b c d e f g"), (3, ""), (3, ""), (4, ""), (9, "alone here now then so")]
     assert N.deduplicate(df.limit(0)).count() == 0
 
