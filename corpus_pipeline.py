@@ -10,50 +10,68 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is told; the bit classifiers learn from rows of ``docs`` with a language."""
+    """Rows whose language is told; the bit classifiers learn from rows of ``docs`` with a language.
+
+    Null texts and texts without a letter go, empty ones among them; a text goes if its best language holds less than ``LEAST_LANGUAGE_SHARE``; texts of any
+    length are read whole; equal texts fare alike, so repeated rows all stay or all go; without any labelled row all rows go; an empty table gives no rows;
+    columns of any names are kept."""
+    from assertia.llm.common import unused
     from assertia.llm.language_id import UNKNOWN, identify
 
-    found = identify(docs, F.lit(True))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SHARE)).select(*_own(docs))
+    names = lang, score, _ = unused(docs, "lang_pred", "lang_score", "lang_unsure")
+    return identify(docs, F.lit(True), names=names).where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SHARE)).drop(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; a text of which nothing is left goes."""
-    from assertia.llm.line_dedup import dedup_shared_lines
+    """Texts without recurring lines; a text of which nothing is left goes.
+
+    Null and empty texts lose nothing and stay; ``n_chars`` follows the text where lines went; repeated rows and equal texts lose the same lines; of a
+    recurring line the document of least id (not null) keeps it; an empty table gives no rows; columns of any names are kept."""
+    from assertia.llm.common import unused
+    from assertia.llm.line_dedup import dedup_lines
 
-    found = dedup_shared_lines(docs).where("__dropped = 0 or length(trim(text)) > 0")
+    names = _, dropped = unused(docs, "lines", "dropped")
+    found = dedup_lines(docs, names=names).where((F.col(dropped) == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*_own(docs))
+        found = found.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.drop(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, by shingles of five words."""
+    """One document of each group of similar ones, by shingles of five words.
+
+    Null texts and texts without words all stay; of a group, and of repeated rows, the least id's row stays, ties going to the least text hash and then to any
+    one of equal rows; a null id counts as the greatest; an empty table gives no rows; columns of any names are kept."""
     from assertia.llm.near_dup import deduplicate
 
     return deduplicate(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is inside benchmark windows."""
+    """Documents of which less than a twentieth of the words is inside benchmark windows.
+
+    Null texts and texts without words stay; rows are judged by their text, so repeated rows and equal texts fare alike, whatever their ids; without a benchmark
+    all rows stay; an empty table gives no rows; columns of any names are kept."""
+    from assertia.llm.common import packed, unpacked
     from assertia.llm.decontaminate import contamination
 
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("__th", F.xxhash64("text")).withColumn("__k", F.struct(F.col("doc_id").alias("id"), F.col("__th").alias("th")))
-    found = contamination(keyed, benchmark, id_col="__k").where("contaminated").select(F.col("__k.id").alias("__id"), F.col("__k.th").alias("__t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))
-    return keyed.join(found, same, "left_anti").select(*_own(docs))
+    keyed = packed(docs, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).alias("k"), F.col("text"))
+    found = contamination(keyed.select("k", "text"), benchmark, id_col="k").where("contaminated").select(F.col("k.th").alias("of"), F.col("k.id").alias("id")).distinct()
+    same = F.col("k.id").eqNullSafe(F.col("id")) & (F.col("k.th") == F.col("of"))
+    return unpacked(keyed.select("row", "k").join(found, same, "left_anti"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight has it, in a global shuffle."""
-    from assertia.llm.mixing import replicate, shuffled
-
-    return shuffled(replicate(docs)).withColumnsRenamed({"__copy": "copy", "__place": "place"})
+    """Each document as often as its source's target weight has it, in a global shuffle; ``copy`` and ``place`` (or names close to them, if taken) are added.
 
+    A null source is a source; null and empty texts are copied at their source's rate; rows of one id get one count; a source without characters gives no rows;
+    an empty table gives no rows; columns of any names are kept."""
+    from assertia.llm.common import unused
+    from assertia.llm.mixing import replicate, shuffled
 
-def _own(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    names = unused(docs, "copy", "place")
+    return shuffled(replicate(docs, names=names), names[1])
 
 
 STAGES = [
