@@ -39,8 +39,13 @@ OPEN, FIXED = 4, 2
 
 
 def _lines(text: Column) -> Column:
-    """A text's lines, blanks collapsed."""
-    return F.transform(F.split(F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " "), "\n", -1), lambda s: F.trim(s))
+    """A text's lines, blanks collapsed (most texts have nothing to collapse, and one look tells)."""
+    collapsed = F.when(text.rlike("[\\t\\r\\f\\x0B]|  "), F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(text)
+    return F.transform(F.split(collapsed, "\n", -1), lambda s: F.trim(s))
+
+
+def _count(text: Column, byte: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(byte), F.lit("")))
 
 
 def _masked(line: Column) -> Column:
@@ -59,9 +64,9 @@ def tree_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # equal for texts that are copies but for blanks and blank lines; found once a text, not once a line
     named = lines.select("doc", "th", "lines", F.xxhash64(F.filter("lines", lambda s: s != "")).alias("same"))
     rows = named.select("doc", "th", "same", F.posexplode("lines").alias("pos", "s")).withColumn("s", _masked(F.col("s")))
-    w = F.split("s", " ", -1)
-    placed = rows.withColumn("n", F.size(w)).where((F.col("n") >= MIN_TOKENS) | (F.col("s").rlike("\\p{L}") & ~F.array_contains(w, "*")))
-    return placed.select("doc", "th", "same", "pos", "n", F.xxhash64("n", F.slice(w, 1, LEAD)).alias("leaf"), F.xxhash64("s").alias("h"), F.when(F.col("n") >= MIN_TOKENS, F.col("s")).alias("s"))
+    placed = rows.withColumn("n", _count(F.col("s"), " ") + 1)
+    able = placed.where((F.col("n") >= MIN_TOKENS) | (F.col("s").rlike("\\p{L}") & ~F.array_contains(F.split("s", " ", -1), "*")))
+    return able.select("doc", "th", "same", "pos", "n", F.xxhash64("n", F.substring_index("s", " ", LEAD)).alias("leaf"), F.xxhash64("s").alias("h"), F.when(F.col("n") >= MIN_TOKENS, F.col("s")).alias("s"))
 
 
 def level_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -108,22 +113,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
     spots = lines.select("doc", "th", "same", "pos", "h").join(often, "h").where(~kept)
     gone = spots.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))  # as many as one text has lines
-    text = own(text_col).cast("string")
-    keyed = packed(docs, text.alias("text"), own(id_col).alias("id"), F.xxhash64(text).alias("th")).withColumn("k", F.xxhash64("id", "th"))
+    keyed = packed(docs, own(id_col).alias("id"), F.xxhash64(own(text_col).cast("string")).alias("th")).withColumn("k", F.xxhash64("id", "th"))
     joined = keyed.join(gone.select(F.xxhash64("doc", "th").alias("k"), "doc", F.col("th").alias("of"), "gone"), "k", "left")
     # two keys of one hash: the wrong one's lines stay
-    mine = F.col("id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("of"))
-    split = F.split("text", "\n", -1)
+    mine = F.col("gone").isNotNull() & F.col("id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("of"))
+    text = F.col(ROW)[text_col].cast("string")
+    split = F.split(text, "\n", -1)
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda p: F.get(split, p)), "\n")
-    new = F.when(F.col("gone").isNull() | ~mine, F.col("text")).otherwise(left)
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), F.coalesce(F.when(mine, F.size("gone")), F.lit(0)).cast("long")]
+    new = F.when(mine, left).otherwise(text)
+    counts = [F.coalesce(_count(text, "\n") + 1, F.lit(0)).cast("long"), F.when(mine, F.size("gone")).otherwise(0).cast("long")]
     return joined.select(*((new if c == text_col else F.col(ROW)[c]).alias(c) for c in docs.columns), *(x.alias(n) for x, n in zip(counts, names, strict=True)))
 
 
-#: The pipeline's former name of the operator.
-dedup_shared_lines = dedup_lines
-
-
 def oracle_sql(min_docs: int = MIN_DOCS) -> str:
     """The same in DuckDB SQL over ``documents`` with unique ids, written from the definition: places counted one by one and templates as texts."""
     return rf"""
