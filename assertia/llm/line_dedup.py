@@ -11,7 +11,7 @@ A template recurs if ``MIN_DOCS`` distinct texts have it; a whole line of more t
 line, it counts; texts that are equal but for blanks and blank lines are one text. Recurring lines are dropped from all documents but the one of least id and those whose
 text equals that one's: exact copies of a document lose the same lines and stay copies, for near-duplicate detection to find.
 
-Only leaves of enough texts are looked into, since all templates of a line lie below its leaf. Counts are partial sums and templates are 64-bit
+Only leaves of enough (text, line) pairs are looked into, since all templates of a line lie below its leaf. Counts are partial sums and templates are 64-bit
 hashes, so a line that a third of all rows share loads no single task; what may be broadcast are written tables, by Spark's own size threshold.
 
 Not found: fields among the leading tokens unless they have a digit, fields in more than a quarter of a line, fields of several tokens whose number varies.
@@ -86,33 +86,39 @@ def level_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return fit.select("h", "texts", F.xxhash64("leaf", "key").alias("t"))
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The written table ``(h, first, kept)``: for each line that has recurring templates, the keepers of these: their least document id and its text."""
-    texts = lines.select("leaf", "n", "same").distinct().groupBy("leaf").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    whole = lines.groupBy("h", "n", "same").agg(F.min("doc").alias("doc"))
-    counted = whole.groupBy("h", "n").agg(F.count(F.lit(1)).alias("texts"))
-    exact = materialize(counted.where(F.col("texts") >= _need(F.col("n"), min_docs)).select("h", F.xxhash64(F.lit("whole"), "h").alias("t"), _need(F.col("n"), min_docs).alias("need")), "whole")
-    hot = materialize(texts.where((F.col("n") >= MIN_TOKENS) & (F.col("texts") >= min_docs)).select("leaf"), "leaves")
+def candidates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The written table ``(h, t, need)``: lines with those of their templates that may recur, and how many texts these need."""
+    once = lines.groupBy("h", "n", "leaf", "same").agg(F.lit(1).alias("one"))
+    counted = materialize(once.groupBy("h", "n", "leaf").agg(F.count(F.lit(1)).alias("texts")), "counted")
+    exact = counted.where(F.col("texts") >= _need(F.col("n"), min_docs)).select("h", F.xxhash64(F.lit("whole"), "h").alias("t"), _need(F.col("n"), min_docs).alias("need"))
+    hot = materialize(counted.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs).select("leaf"), "leaves")
     held = lines.join(hot, "leaf", "left_semi").select("leaf", "n", "h", "s", "same").distinct().groupBy("leaf", "n", "h").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("texts"))
     found = materialize(level_templates(held, min_docs), "levels")
     live = found.groupBy("t").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs).select("t")
-    of_line = materialize(exact.unionByName(found.join(live, "t", "left_semi").select("h", "t", F.lit(min_docs).alias("need"))), "templates")
+    return materialize(exact.unionByName(found.join(live, "t", "left_semi").select("h", "t", F.lit(min_docs).alias("need"))), "templates")
+
+
+def recurring(spots: DataFrame, templates: DataFrame) -> DataFrame:
+    """The written table ``(h, first, kept)``: for each line that has recurring templates, the keepers of these: their least document id and its text."""
     # a text votes by its least id, so that rows of one id, or of none, are one vote whatever their texts
-    votes = whole.select("h", "same", "doc").join(of_line, "h").groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("need").alias("need"))
+    own_ = spots.groupBy("h", "same").agg(F.min("doc").alias("doc"))
+    votes = own_.join(templates, "h").groupBy("t", "same").agg(F.min("doc").alias("first"), F.max("need").alias("need"))
     once = votes.groupBy("t", "first").agg(F.min("same").alias("same"), F.max("need").alias("need"))
     least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "same")))
     total = once.groupBy("t").agg(F.count(F.lit(1)).alias("votes"), least.alias("x"), F.max("need").alias("need"))
     keepers = materialize(total.where("votes >= need").select("t", F.col("x.first").alias("first"), F.col("x.same").alias("kept")), "keepers")
-    return materialize(of_line.join(keepers, "t").select("h", "first", "kept").distinct(), "recurring")
+    return materialize(templates.join(keepers, "t").select("h", "first", "kept").distinct(), "recurring")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, names: Iterable[str] = ("__lines", "__dropped")) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and counts (columns ``names``, which ``docs`` must not have) of its lines and those dropped."""
     lines = materialize(tree_lines(docs, id_col, text_col), "lines")
-    often = recurring(lines, min_docs)
+    templates = candidates(lines, min_docs)
+    some = materialize(templates.select("h").distinct(), "wanted")
+    spots = materialize(lines.select("doc", "th", "same", "pos", "h").join(some, "h", "left_semi"), "spots")
+    often = recurring(spots, templates)
     kept = F.col("doc").eqNullSafe(F.col("first")) | (F.col("same") == F.col("kept"))
-    spots = lines.select("doc", "th", "same", "pos", "h").join(often, "h").where(~kept)
-    gone = spots.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))  # as many as one text has lines
+    gone = spots.join(often, "h").where(~kept).groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))  # as many as one text has lines
     keyed = packed(docs, own(id_col).alias("id"), F.xxhash64(own(text_col).cast("string")).alias("th")).withColumn("k", F.xxhash64("id", "th"))
     joined = keyed.join(gone.select(F.xxhash64("doc", "th").alias("k"), "doc", F.col("th").alias("of"), "gone"), "k", "left")
     # two keys of one hash: the wrong one's lines stay
