@@ -1,9 +1,10 @@
 """Negation: which claims of a set are negated by claims of the set that are not negated themselves.
 
 Claims address what they negate by content, so the negations form a graph without cycles. If no negator is negated, one join settles
-all; else rounds settle, from the leaves up, targets with a standing negator (negated) and targets whose negators are all negated (standing).
-Each round is a written table; rounds are as many as the longest chain. Ids that were never verified may form cycles; what stays unsettled then
-counts as standing.
+all. Else paths of claims with one negator each are first contracted by doubling, since along them the state just alternates; then rounds settle, from the leaves up,
+targets with a standing negator (negated) and targets whose negators are all negated (standing), and drop the edges that are decided. Each round is a written table;
+there are as many as a chain has claims with several negators, and a few. Ids that were never verified may form cycles; what
+these leave unsettled counts as standing.
 """
 
 from __future__ import annotations
@@ -41,21 +42,40 @@ def negated(claims: ClaimSet, trusted: Column | None = None) -> DataFrame:
     """Keys ``(root?, id)`` of the negated claims."""
     root = ["root"] if claims.rooted else []
     edges = written(negations(claims, trusted), "negations")
-    targets = edges.select(*root, F.col("t").alias("n")).distinct()
-    if edges.join(targets, [*root, "n"], "left_semi").isEmpty():
+    if edges.join(edges.select(*root, F.col("t").alias("n")).distinct(), [*root, "n"], "left_semi").isEmpty():
         return edges.select(*root, F.col("t").alias("id")).distinct()
-    # (n, hit): claims settled so far and whether they are negated
-    fresh = edges.select(*root, "n").distinct().join(targets, [*root, "n"], "left_anti").withColumn("hit", F.lit(False))
-    settled, open_ = written(fresh, "settled"), edges
-    while True:
-        known = open_.join(settled, [*root, "n"], "left")
-        votes = known.groupBy(*root, F.col("t").alias("n")).agg(F.max(F.when(~F.col("hit"), 1).otherwise(0)).alias("struck"), F.count("hit").alias("known"), F.count(F.lit(1)).alias("all"))
-        decided = votes.where("struck = 1 or known = all").select(*root, "n", (F.col("struck") == 1).alias("hit"))
-        fresh = written(decided.join(settled.select(*root, "n"), [*root, "n"], "left_anti"), "settled")
-        if fresh.isEmpty():
+    path = contracted(edges, root)
+    # a negator is an end of its path, whose state or (odd) its opposite it has
+    open_ = edges.join(path, [*root, "n"], "left").select(*root, F.coalesce("end", "n").alias("n"), F.coalesce("odd", F.lit(0)).alias("odd"), "t").distinct()
+    targets = edges.select(*root, F.col("t").alias("n")).distinct()
+    fresh = written(open_.select(*root, "n").distinct().join(targets, [*root, "n"], "left_anti").withColumn("hit", F.lit(0)), "settled")
+    open_, struck = written(open_, "open"), None
+    while not fresh.isEmpty():
+        known = written(open_.join(fresh, [*root, "n"], "left").withColumn("negates", F.lit(1) - F.col("hit").bitwiseXOR(F.col("odd"))), "known")
+        votes = known.groupBy(*root, "t").agg(F.max("negates").alias("struck"), F.count("hit").alias("told"), F.count(F.lit(1)).alias("all"))
+        decided = written(votes.where("struck = 1 or told = all").select(*root, F.col("t").alias("n"), F.coalesce("struck", F.lit(0)).alias("hit")), "decided")
+        hit = decided.where("hit = 1").select(*root, F.col("n").alias("id"))
+        struck = hit if struck is None else struck.unionByName(hit)
+        # what is decided needs no edges any more, and a negator that strikes nothing no edge
+        left = known.where("hit is null").select(*root, "n", "odd", "t").join(decided.select(*root, F.col("n").alias("t")), [*root, "t"], "left_anti")
+        open_, fresh = written(left, "open"), decided
+    return struck
+
+
+def contracted(edges: DataFrame, root: list[str]) -> DataFrame:
+    """``(root?, n, end, odd)``: where a path of claims with one negator each leads from ``n``, and whether its length is odd. Each round doubles the length."""
+    single = edges.groupBy(*root, "t").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("by")).where("c = 1")
+    path = written(single.select(*root, F.col("t").alias("n"), F.col("by").alias("end"), F.lit(1).alias("odd")), "paths")
+    # as many doublings as a path through all claims needs; what moves after that goes in a circle
+    for _ in range(path.count().bit_length() + 1):
+        on = path.select(*root, F.col("n").alias("end"), F.col("end").alias("further"), F.col("odd").alias("more"))
+        longer = path.join(on, [*root, "end"], "left")
+        path = written(longer.select(*root, "n", F.coalesce("further", "end").alias("end"), F.col("odd").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("odd"), F.col("further").isNotNull().alias("moved")), "paths")
+        still = path.where("moved").isEmpty()
+        path = path.drop("moved")
+        if still:
             break
-        settled = settled.unionByName(fresh)
-    return settled.where("hit").select(*root, F.col("n").alias("id"))
+    return path
 
 
 def mask(claims: ClaimSet, policy: str, trusted: Column | None = None) -> ClaimSet:

@@ -1,4 +1,8 @@
-"""Predicates as Columns, two-valued: every leaf is null-free before it is negated or combined."""
+"""Predicates as Columns, two-valued.
+
+A filter passes neither null nor false, so a predicate that only stands under ``and`` and ``or`` is left as it is: its comparisons stay plain and reach the scan. What
+stands under ``not`` must tell the two apart, so there every leaf is made null-free.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +40,7 @@ def compare_typed(x: Column, lane: str, cmp: str, constant: Any) -> Column:
     """A value of a known type against a constant, in the canonical order: booleans, then numbers, then strings."""
     other = lane_of(constant)
     if cmp == "prefix":
-        return _sure(x.startswith(constant)) if lane == other == "str" else F.lit(False)
+        return x.startswith(constant) if lane == other == "str" else F.lit(False)
     if lane != other:
         below = RANKS[lane] < RANKS[other]
         return F.lit({"eq": False, "neq": True, "lt": below, "lte": below, "gt": not below, "gte": not below}[cmp])
@@ -61,13 +65,11 @@ def compare_ranked(p: Column, cmp: str, constant: Any) -> Column:
 
 
 def str_match(x: Column, match: dict) -> Column:
-    """A string column against a match; a null never matches."""
+    """A string column against a match, null for a null; a null never matches."""
     [(tag, value)] = match.items()
-    if tag == "column":  # a set that was left as a flag or a semi-join key by the planner
-        return _sure(value(x))
     if tag == "aliased":
         raise TermError("an aliased match outside its operator")
-    return _sure({"exact": lambda: x == F.lit(value), "prefix": lambda: x.startswith(value), "inSet": lambda: x.isin(value) if value else F.lit(False)}[tag]())
+    return {"exact": lambda: x == F.lit(value), "prefix": lambda: x.startswith(value), "inSet": lambda: x.isin(value) if value else F.lit(False)}[tag]()
 
 
 def str_matches(text: str | None, match: dict) -> bool:
@@ -97,24 +99,16 @@ def _value_typed(x: Column, lane: str, match: dict) -> Column:
 
 
 def pointer_matches(p: Column, pred: dict, root: Column | None) -> Column:
-    """All given fields on one pointer of an array."""
-    tests = []
-    for key, want in pred.items():
-        if key == "role":
-            tests.append(str_match(p["role"], want))
-        elif key == "context":
-            tests.append(_sure(p["kind"].isin("e", "d")) & str_match(p["context"], want))
-        elif key == "targetDelta":
-            tests.append(_sure((p["kind"] == "d") & (p["delta_ref"] == F.lit(want))))
-        elif key == "targetIsPrimitive":
-            tests.append(_sure((p["kind"] == "p") == F.lit(want)))
-        elif key == "targetValue":
-            tests.append(_sure(p["kind"] == "p") & _value_ranked(p, want))
-        elif want == {"var": "root"}:
-            tests.append(F.lit(False) if root is None else _sure((p["kind"] == "e") & (p["entity"] == root)))
-        else:
-            tests.append(_sure((p["kind"] == "e") & (p["entity"] == F.lit(want))))
-    return all_of(tests)
+    """All given fields on one pointer of an array; never null."""
+    here = {
+        "role": lambda want: str_match(p["role"], want),
+        "context": lambda want: p["kind"].isin("e", "d") & str_match(p["context"], want),
+        "targetDelta": lambda want: (p["kind"] == "d") & (p["delta_ref"] == F.lit(want)),
+        "targetIsPrimitive": lambda want: (p["kind"] == "p") == F.lit(want),
+        "targetValue": lambda want: (p["kind"] == "p") & _value_ranked(p, want),
+        "targetEntity": lambda want: (p["kind"] == "e") & (p["entity"] == (root if want == {"var": "root"} else F.lit(want))),
+    }
+    return all_of([F.lit(False) if want == {"var": "root"} and root is None else _sure(here[key](want)) for key, want in pred.items()])
 
 
 def spec_matches(spec: PointerSpec, pred: dict, root: Column | None) -> Column | None:
@@ -152,12 +146,14 @@ def spec_matches(spec: PointerSpec, pred: dict, root: Column | None) -> Column |
     return all_of(tests)
 
 
-def predicate(pred: Any, *, layout: tuple[PointerSpec, ...] | None = None, root: Column | None = None) -> Column:
-    """A closed, lowered predicate over a claim's columns."""
-    if pred == "true":
-        return F.lit(True)
-    if pred == "false":
-        return F.lit(False)
+def predicate(pred: Any, *, layout: tuple[PointerSpec, ...] | None = None, root: Column | None = None, exact: bool = False) -> Column:
+    """A closed, lowered predicate over a claim's columns, as a filter's condition; with ``exact`` it is never null."""
+
+    def part(node: Any) -> Column:
+        return predicate(node, layout=layout, root=root, exact=exact)
+
+    if pred in ("true", "false"):
+        return F.lit(pred == "true")
     [(tag, value)] = pred.items()
     if tag == "match":
         field, cmp, constant = value["field"], value["cmp"], value["const"]
@@ -166,16 +162,16 @@ def predicate(pred: Any, *, layout: tuple[PointerSpec, ...] | None = None, root:
         lane = "num" if field == "timestamp" else "str"
         return in_typed(F.col(field), lane, constant) if cmp == "inSet" else compare_typed(F.col(field), lane, cmp, constant)
     if tag == "hasPointer":
-        if layout is not None:
-            found = [c for s in layout if (c := spec_matches(s, value, root)) is not None]
-            return any_of([_sure(c) for c in found])
-        return F.exists("pointers", lambda p: pointer_matches(p, value, root))
+        if layout is None:
+            return F.exists("pointers", lambda p: pointer_matches(p, value, root))
+        held = any_of([c for s in layout if (c := spec_matches(s, value, root)) is not None])
+        return _sure(held) if exact else held
     if tag == "and":
-        return predicate(value[0], layout=layout, root=root) & predicate(value[1], layout=layout, root=root)
+        return all_of([part(x) for x in value])
     if tag == "or":
-        return predicate(value[0], layout=layout, root=root) | predicate(value[1], layout=layout, root=root)
+        return any_of([part(x) for x in value])
     if tag == "not":
-        return ~predicate(value, layout=layout, root=root)
+        return ~predicate(value, layout=layout, root=root, exact=True)
     if tag == "flag":  # a reflected membership that the planner joined in
         return F.col(value)
     raise TermError(f"a predicate that was not lowered: {tag}")

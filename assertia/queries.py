@@ -20,6 +20,7 @@ from assertia.plans.term import parse_pred, parse_term
 from assertia.plans.vocabulary import Vocabulary
 from assertia.sources.relation import claim_frame, decode_relation, encode_relation, lane_column
 from assertia.streaming.federation import completeness, digest, federate
+from assertia.streaming.reactor import Reactor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -572,19 +573,227 @@ def derive_attr_eq(spark, d):
     return decode_relation(kept, df, ["l_orderkey", "l_linenumber", "l_quantity"])
 
 
+SUMS = {"props": {}, "default": {"merge": "sum"}}
+
+
+def thirds(claims: DataFrame, part: int) -> DataFrame:
+    return claims.where(F.pmod(F.substring("id", 4, 20).cast("long"), F.lit(3)) == part)
+
+
 @query(f"SELECT {_USER}, round(sum(value), 2) AS value, count(*) AS n FROM events GROUP BY ALL")
 def reactor_incremental(spark, d):
-    """Event claims in three micro-batches of a stream; the view after the last one."""
-    from assertia.streaming.reactor import Reactor
-
-    reactor = Reactor(spark, {"op": "group", "key": "byTargetContext", "in": "input"}, {"props": {}, "default": {"merge": "sum"}})
+    """Event claims in three micro-batches; the view after the last one."""
+    reactor = Reactor(spark, verify=False)
+    reactor.register("sums", GROUPED, SUMS)
     claims = events(spark, d).general().df
     for part in range(3):
-        reactor.ingest(claims.where(F.pmod(F.substring("id", 4, 20).cast("long"), F.lit(3)) == part))
+        reactor.ingest(thirds(claims, part))
     reactor.ingest(claims.where("author = 'error'"))  # repeats change nothing
-    view = reactor.view()
     n = reactor.log().df.select(F.get("pointers", F.lit(0)).alias("p")).groupBy(F.col("p.entity").alias("root"), F.col("p.context").alias("prop")).agg(F.count(F.lit(1)).alias("n"))
-    return view.select("root", "prop", F.round("value.num", 2).alias("value")).join(n, ["root", "prop"])
+    return reactor.view("sums").select("root", "prop", F.round("value.num", 2).alias("value")).join(n, ["root", "prop"])
+
+
+@query(f"{_ALL} SELECT 'user:' || user_id AS root, event_type AS prop, count(*)::DOUBLE AS value FROM r WHERE NOT negated GROUP BY ALL")
+def reactor_restart(spark, d):
+    """A view under negation, over batches that a second reactor, opened on the first one's folder, completes."""
+    claims = events(spark, d, negating=True).general().df
+    first = Reactor(spark, verify=False)
+    first.register("standing", {"op": "group", "key": "byTargetContext", "in": {"op": "mask", "policy": "drop", "in": "input"}}, {"props": {}, "default": {"merge": "count"}})
+    first.ingest(thirds(claims, 2))
+    second = Reactor(spark, first.path, verify=False)
+    second.ingest(thirds(claims, 0))
+    second.ingest(thirds(claims, 1))
+    return numbers(Reactor(spark, first.path).view("standing"))
+
+
+@query("SELECT DISTINCT 'user:' || user_id AS root, event_type AS prop FROM events WHERE event_id % 3 = 1")
+def change_events(spark, d):
+    """What the last batch changed of a view of counts: the properties that it adds to."""
+    reactor = Reactor(spark, verify=False)
+    reactor.register("counts", GROUPED, {"props": {}, "default": {"merge": "count"}})
+    claims = events(spark, d).general().df
+    reactor.ingest(claims.where(F.pmod(F.substring("id", 4, 20).cast("long"), F.lit(3)) != 1))
+    return reactor.ingest(thirds(claims, 1))["counts"].select("root", "prop")
+
+
+def customer_claims(spark, d) -> DataFrame:
+    """Customers' balances under their nation, addressed by content, as claim rows with the customer's and the region's key."""
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    layout = [PointerSpec("nation", "e", column="c_n", context="customers"), PointerSpec("balance", "p", "num", "c_b")]
+    columns = {"c_n": F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")), "c_b": F.col("c_acctbal"), "c_key": F.col("c_custkey"), "c_region": F.col("n_regionkey")}
+    return claim_frame(c, layout, id=None, author=F.lit("registry"), timestamp=F.col("c_custkey"), columns=columns).df
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 7 < 2 THEN 'rejected' ELSE 'accepted' END AS status, CASE c_custkey % 7 WHEN 0 THEN 'the id is not the address of the claims' WHEN 1 THEN 'author must be a non-empty string' END AS reason FROM customer")
+def ingest_rejects(spark, d):
+    """Forged ids and claims without an author are turned away with the reason."""
+    claims = customer_claims(spark, d)
+    kind = F.pmod(F.col("c_key"), F.lit(7))
+    sent = claims.withColumn("id", F.when(kind == 0, F.concat(F.substring("id", 1, 60), F.lit("00000000"))).otherwise(F.col("id"))).withColumn("author", F.when(kind == 1, "").otherwise(F.col("author")))
+    return Reactor(spark).ingest(sent)[""].join(sent.select("id", F.col("c_key").alias("key")), "id").select("key", "status", "reason")
+
+
+@query("SELECT n_nationkey AS key FROM nation WHERE n_regionkey IN (0, 1, 4)")
+def bundle_atomic(spark, d):
+    """A bundle for each region; one holds a forged claim and one a claim that its manifest does not list, and neither leaves a trace."""
+    from assertia.streaming.peer import manifests
+
+    n = read(spark, d, "nation")
+    claims = claim_frame(n, [PointerSpec("nation", "e", column="c_n", context="name"), PointerSpec("name", "p", "str", "c_x")], id=None, author=F.lit("clerk"), timestamp=F.lit(0.0), columns={"c_n": F.col("n_nationkey").cast("string"), "c_x": F.col("n_name"), "c_region": F.col("n_regionkey")}).df
+    heads = manifests(claims.where("not (c_region = 3 and c_n = (select cast(max(n_nationkey) as string) from {n} where n_regionkey = 3))".replace("{n}", "parquet.`" + f"{d}/nation.parquet" + "`")).select(F.col("c_region").alias("bundle"), "id"), "clerk", 1.0)
+    reactor = Reactor(spark)
+    for head in heads.collect():  # one for each region
+        sent = claims.where(F.col("c_region") == head.bundle)
+        if head.bundle == 2:
+            sent = sent.withColumn("timestamp", F.lit(5.0))
+        reactor.ingest_bundle(head.id, sent.select("id", "author", "timestamp", "pointers", "sig").unionByName(heads.where(F.col("id") == head.id).drop("bundle")))
+    return reactor.log().df.where("author = 'clerk' and timestamp = 0").select(F.get("pointers", F.lit(0))["entity"].cast("long").alias("key"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    return rows.where("prop = 'customers'").select("root", F.col("root").alias("nation"), F.col("value.num").alias("total"))
+
+
+def derived(spark, d, emit: str, batches: list[str], budget: int = 9) -> tuple:
+    """A binding that keeps each nation's total, over batches of customers that conditions choose."""
+    from assertia.streaming.derivation import Binding, Host
+
+    reactor = Reactor(spark)
+    reactor.register("nations", {"op": "group", "key": "byTargetContext", "in": {"op": "select", "pred": has(role={"exact": "nation"}), "in": {"op": "mask", "policy": "drop", "in": "input"}}}, SUMS)
+    host = Host(reactor)
+    author = host.install(Binding("binding:totals", "fn:totals", "nations", totals, {"nation": ("e", "str", "derived:total"), "total": ("p", "num", None)}, budget, emit, ("nation",)), bytes(range(32)))
+    claims = customer_claims(spark, d)
+    for condition in batches:
+        host.ingest(claims.where(condition))
+    return reactor, author
+
+
+def standing_totals(reactor: Reactor, author: str) -> DataFrame:
+    view = reactor.eval({"op": "group", "key": "byTargetContext", "in": select({"and": [{"match": {"field": "author", "cmp": "eq", "const": author}}, has(role={"exact": "total"})]}, {"op": "mask", "policy": "drop", "in": "input"})}, "all")
+    total = F.get(F.filter("pointers", lambda p: p["role"] == "total"), F.lit(0))["num"]
+    return view.entries.where("prop = 'derived:total'").select("root", F.round(total, 2).alias("total"))
+
+
+_TOTALS = "SELECT 'nation:' || c_nationkey AS root, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE {} GROUP BY ALL"
+
+
+@query(f"{_TOTALS.format('true')} HAVING bool_or(c_custkey % 2 = 1)")
+def derive_supersede(spark, d):
+    """Each batch's totals take back all that the binding said before: nations that the second batch does not reach have none."""
+    return standing_totals(*derived(spark, d, "supersede", ["c_key % 2 = 0", "c_key % 2 = 1"]))
+
+
+@query(f"{_TOTALS.format('c_custkey % 2 = 0 OR n_regionkey = 1')}")
+def derive_keyed(spark, d):
+    """The second batch reaches one region's nations: only these nations' totals are replaced."""
+    return standing_totals(*derived(spark, d, "keyed", ["c_key % 2 = 0", "c_key % 2 = 1 and c_region = 1"]))
+
+
+@query(f"SELECT * FROM ({_TOTALS.format('c_custkey % 2 = 0')}) UNION ALL SELECT 'binding:totals', NULL")
+def derive_budget(spark, d):
+    """A second trigger beyond the budget suspends the binding, which a claim says; the third batch finds it suspended."""
+    reactor, author = derived(spark, d, "supersede", ["c_key % 2 = 0", "c_key % 2 = 1 and c_region = 1", "c_key % 2 = 1 and c_region = 2"], budget=1)
+    said = reactor.log().df.where(F.exists("pointers", lambda p: p["context"] == "suspensions")).select(F.get("pointers", F.lit(0))["entity"].alias("root"), F.lit(None).cast("double").alias("total"))
+    return standing_totals(reactor, author).unionByName(said)
+
+
+@query("SELECT n_name AS name, n_regionkey < 2 AS here FROM nation WHERE n_regionkey < 4")
+def sync_both(spark, d):
+    """Two peers with half of the nations each; one keeps a region to itself by its lens, and one does not admit another region."""
+    from assertia.streaming.peer import Peer
+    from assertia.streaming.peer import sync_both as both
+
+    of = {b: [{"timestamp": float(r.n_nationkey), "pointers": [{"role": "region", "target": {"id": f"region:{r.n_regionkey}", "context": "nations"}}, {"role": "name", "target": r.n_name}]} for r in read(spark, d, "nation").where(f"(n_regionkey < 2) = {b}").collect()] for b in (True, False)}
+    a = Peer(spark, bytes([1] * 32), admission={"not": has(targetEntity="region:4")})
+    b = Peer(spark, bytes([2] * 32))
+    a.author_claims(of[True])
+    b.author_claims(of[False])
+    both(a, b)
+    return a.reactor.log().df.select(F.get("pointers", F.lit(1))["str"].alias("name"), (F.col("author") == a.author).alias("here"))
+
+
+# --- predicates and readings that the queries above do not reach -----------------------------------------------------------------------
+
+
+@query(f"{ORDER_SQL} WHERE o_totalprice > 200000")
+def select_constants(spark, d):
+    dear = attribute("o_totalprice", "gt", 200000)
+    return order_query(spark, d, select({"and": [{"or": ["false", dear]}, {"not": {"and": [{"not": "true"}, "true"]}}]}))
+
+
+@query("SELECT 'orders:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def select_is_primitive(spark, d):
+    """A pointer that is a primitive and not just one of its role."""
+    claims = customer_orders(spark, d).general()
+    pred = {"and": [{"and": [has(role={"exact": "customer"}, targetIsPrimitive=False), {"not": has(role={"exact": "priority"}, targetIsPrimitive=False)}]}, {"and": [has(targetIsPrimitive=True, targetValue={"vcmp": {"cmp": "eq", "value": "1-URGENT"}}), {"match": {"field": "author", "cmp": "eq", "const": "F"}}]}]}
+    return run(claims, select(pred)).df.select("id")
+
+
+_LAST = "SELECT event_id, value, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events"
+
+
+@query(f"SELECT event_id, value FROM ({_LAST}) WHERE event_type = 'error' AND last = (SELECT min(last) FROM ({_LAST}) WHERE event_type = 'error')")
+def select_target_delta(spark, d):
+    claims = events(spark, d, negating=True)
+    first = claims.df.agg(F.min(F.substring("c_target", 4, 20).cast("long")).alias("x")).first().x
+    return event_rows(run(claims, select(has(targetDelta=f"ev:{first}", role={"exact": "negates"}))))
+
+
+@query("SELECT event_id, value FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)")
+def inview_role(spark, d):
+    """Entities that a role names, against the author."""
+    view = {"inView": BUYERS["inView"] | {"extract": {"role": "user"}}}
+    return event_rows(run(events(spark, d, author="user"), select(view)))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'purchase' AND value > 100 AND event_id % 2 = 0")
+def inview_id(spark, d):
+    view = {"inView": {"term": select({"and": [has(context={"exact": "purchase"}), attribute("value", "gt", 100)]}), "field": "id", "extract": {"field": "id"}}}
+    return event_rows(run(events(spark, d), select(view))).where("event_id % 2 = 0")
+
+
+@query(f"SELECT 'customer:' || c_custkey AS root, n_name AS prop, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ({_SAME_REGION}) GROUP BY ALL")
+def alias_prune(spark, d):
+    return membership(run(alias_claims(spark, d), {"op": "prune", "keep": {"aliased": {"name": first_nation(spark, d)}}, "in": GROUPED}, "all"))
+
+
+@query("SELECT c_name AS name, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def nested_reading(spark, d):
+    """Customers whose nation, and whose nation's region, are read in place: canonical bytes, decoded."""
+    from assertia.functions.canon import decode
+
+    c, n, r = (read(spark, d, t) for t in ("customer", "nation", "region"))
+
+    def laid(df: DataFrame, name: str, key: str, specs: list, columns: dict) -> DataFrame:
+        return claim_frame(df, specs, id=F.concat(F.lit(f"{name}:"), F.col(key).cast("string")), author=F.lit(name), timestamp=F.lit(0.0), columns=columns).general().df
+
+    def entity(prefix: str, key: str):
+        return F.concat(F.lit(prefix), F.col(key).cast("string"))
+
+    sets = [
+        laid(c, "customer", "c_custkey", [PointerSpec("self", "e", column="c_c", context="about"), PointerSpec("name", "p", "str", "c_x"), PointerSpec("nation", "e", column="c_n")], {"c_c": entity("c", "c_custkey"), "c_x": F.col("c_name"), "c_n": entity("n", "c_nationkey")}),
+        laid(n, "nation", "n_nationkey", [PointerSpec("self", "e", column="c_n", context="about"), PointerSpec("name", "p", "str", "c_x"), PointerSpec("region", "e", column="c_r")], {"c_n": entity("n", "n_nationkey"), "c_x": F.col("n_name"), "c_r": entity("r", "n_regionkey")}),
+        laid(r, "region", "r_regionkey", [PointerSpec("self", "e", column="c_r", context="about"), PointerSpec("name", "p", "str", "c_x")], {"c_r": entity("r", "r_regionkey"), "c_x": F.col("r_name")}),
+    ]
+    registry = Registry.from_json(
+        [
+            {"name": "Region", "alg": 1, "body": AT_ROOT},
+            {"name": "Nation", "alg": 1, "body": {"op": "expand", "role": {"exact": "region"}, "schema": "Region", "reading": "One", "in": AT_ROOT}},
+            {"name": "Customer", "alg": 1, "body": {"op": "expand", "role": {"exact": "nation"}, "schema": "Nation", "reading": "One", "in": AT_ROOT}},
+        ],
+        [{"name": "One", "alg": 1, "props": {}, "default": PICK}],
+    )
+    term = parse_term({"op": "resolve", "schema": {"props": {}, "default": PICK}, "in": registry.program("Customer").body})
+    out = Planner(ClaimSet(sets[0].unionByName(sets[1]).unionByName(sets[2])), registry).plan(term, c.select(entity("c", "c_custkey").alias("root")))
+
+    def opened(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            found = [decode(bytes(x)) for x in pdf["cbor"]]
+            yield pd.DataFrame({"name": [x["name"] for x in found], "nation": [x["nation"]["about"]["name"] for x in found], "region": [x["nation"]["about"]["region"]["about"] for x in found]})
+
+    return out.rows.select("value.cbor").mapInPandas(opened, "name string, nation string, region string")
 
 
 @query()

@@ -26,7 +26,7 @@ def lane_column(df: DataFrame, name: str) -> tuple[str, Column]:
     if isinstance(kind, T.DoubleType):
         return "num", c
     if isinstance(kind, T.LongType):
-        return "num", F.when(F.abs(c) > EXACT, F.raise_error(F.lit("an integer beyond 2^53"))).otherwise(c.cast("double"))
+        return "num", _exact_double(df, c)
     if isinstance(kind, T.NumericType):
         return "num", c.cast("double")
     if isinstance(kind, T.TimestampNTZType):
@@ -36,6 +36,14 @@ def lane_column(df: DataFrame, name: str) -> tuple[str, Column]:
     return "str", c.cast("string")
 
 
+def _exact_double(df: DataFrame, c: Column) -> Column:
+    """A long as a double, or an error beyond 2^53. Under ANSI the error is an arithmetic overflow, which unlike ``raise_error`` is deterministic, so that
+    Catalyst drops the column where nobody reads it."""
+    if df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true":
+        return F.when((F.abs(c) - 1) * (2**63 // EXACT) < 2**63 - 1, c.cast("double"))
+    return F.when(F.abs(c) > EXACT, F.raise_error(F.lit("an integer beyond 2^53"))).otherwise(c.cast("double"))
+
+
 def claim_frame(df: DataFrame, layout: Iterable[PointerSpec], *, id: Column | None, author: Column, timestamp: Column, columns: dict[str, Column]) -> ClaimSet:
     """A laid-out claim set over a table: ``columns`` are the layout's ``c_*`` columns. Without ``id``, claims are addressed by content."""
     layout = tuple(layout)

@@ -61,7 +61,7 @@ def pull(own: ClaimSet, theirs: ClaimSet, admit: Column | None = None, vocabular
     """Own claims with the admitted part of an offer; a bundle enters as a whole or not at all."""
     offered = offer(theirs, own.df.select("id"), vocabulary)
     if admit is not None:
-        offered = offered.withColumn("ok", admit)
+        offered = offered.withColumn("ok", F.coalesce(admit, F.lit(False)))
         barred = offered.where(~F.col("ok")).where("bundle is not null").select("bundle").distinct()
         offered = offered.where("ok").join(barred, "bundle", "left_anti").drop("ok")
     return sets.union(own, ClaimSet(offered.select(*sets.COLUMNS)))

@@ -38,10 +38,21 @@ def test_entry(spark):
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_predicates_reach_the_scan(spark):
-    plan = QUERIES["select_eq"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(o_orderstatus,F)" in plan and "o_orderdate" not in plan.split("ReadSchema")[1]
-    assert "Python" not in plan and "Exchange" not in plan
+@pytest.mark.parametrize(
+    ("name", "pushed", "unread"),
+    [
+        ("select_eq", "EqualTo(o_orderstatus,F)", "o_orderdate"),
+        ("select_lt", "LessThan(o_totalprice,50000.0)", "o_orderdate"),
+        ("select_between", "LessThanOrEqual(l_quantity,12.0)", "l_extendedprice"),
+        ("derive_join", "GreaterThan(o_totalprice,300000.0)", "o_custkey"),
+    ],
+)
+def test_predicates_reach_the_scan(spark, name, pushed, unread):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan")[1:] if pushed in x.split("ReadSchema")[0]]
+    assert scans and all(unread not in x.split("ReadSchema")[1].split("\n")[0] for x in scans)
+    if name.startswith("select"):
+        assert "Python" not in plan and "Exchange" not in plan
 
 
 def test_pack_and_digest(spark):
