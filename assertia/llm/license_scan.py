@@ -2,8 +2,8 @@
 
 Spans of a text are its lines, its paragraphs (runs of non-blank lines, where of several lines) and the whole (where of several
 paragraphs). A span is normalised (ASCII lower case, words only, copyright lines left out of paragraphs and wholes); spans whose number of
-words lies outside the size bounds of every template are passed over before any bigram is looked at, since
-``2 * min / (a + b)`` bounds the coefficient of sets of a and b bigrams; the bounds hold for distinct bigrams, so they are applied again to these.
+words is too small for every template are passed over before any bigram is looked at; then each template whose own size is out of bounds for the span's distinct bigrams
+is pruned, since ``2 * min / (a + b)`` bounds the coefficient of sets of a and b bigrams.
 
 Defined results: null, empty and wordless texts have no span; equal coefficients go to the template of least id; repeated spans count each; a
 template of one word matches spans of that word alone; empty tables give no rows; other columns are not read.
@@ -11,6 +11,8 @@ template of one word matches spans of that word alone; empty tables give no rows
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -86,30 +88,33 @@ def spans(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 class Scanner:
+    """Templates in the order of their numbers of distinct bigrams, so that those a span can match at all are one run."""
+
     def __init__(self, templates: Iterable[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.templates = [(name, bigrams(words(text.encode()))) for name, text in templates]
-        self.templates = [(name, grams) for name, grams in self.templates if grams]
+        pairs = [(name, bigrams(words(text.encode()))) for name, text in templates]
+        self.templates = sorted(((name, grams) for name, grams in pairs if grams), key=lambda t: len(t[1]))
+        self.sizes = [len(grams) for _, grams in self.templates]
         self.of: dict[tuple[bytes, ...], list[int]] = {}
         for k, (_, grams) in enumerate(self.templates):
             for g in grams:
                 self.of.setdefault(g, []).append(k)
-        sizes = [len(g) for _, g in self.templates] or [0]
-        # fewer distinct bigrams than least can match no template; more words may still repeat few bigrams
-        self.least = min(sizes) * threshold / (2 - threshold)
-        self.most = max(sizes) * (2 - threshold) / threshold
+
+    def candidates(self, n: int) -> tuple[int, int]:
+        """The run of templates whose size a set of ``n`` bigrams may match: twice the lesser of two sizes, by their sum, bounds the coefficient."""
+        least, most = n * self.threshold / (2 - self.threshold), n * (2 - self.threshold) / self.threshold
+        return bisect_left(self.sizes, least - 1e-9), bisect_right(self.sizes, most + 1e-9)
 
     def match(self, w: list[bytes]) -> tuple[str, float] | None:
-        if len(w) - 1 < self.least and len(w) > 1:
+        most = max(1, len(w) - 1)  # distinct bigrams are no more than this, and a span with fewer has only smaller candidates
+        if not self.sizes or self.candidates(most)[1] == 0:
             return None
         grams = bigrams(w)
-        if not self.least <= len(grams) <= self.most:
+        low, high = self.candidates(len(grams))
+        if low == high:
             return None
-        common: dict[int, int] = {}
-        for g in grams:
-            for k in self.of.get(g, ()):
-                common[k] = common.get(k, 0) + 1
-        scored = [(-2 * c / (len(grams) + len(self.templates[k][1])), self.templates[k][0]) for k, c in common.items()]
+        common = Counter(k for g in grams if g in self.of for k in self.of[g] if low <= k < high)
+        scored = [(-2 * c / (len(grams) + self.sizes[k]), self.templates[k][0]) for k, c in common.items()]
         best = min(scored, default=None)
         return (best[1], -best[0]) if best and -best[0] >= self.threshold else None
 
