@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assertia.llm.common import column, slices
+from assertia.llm.common import column, materialize, slices
 
 ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g", "\n": "\\n"}
 PLAIN = {v: k for k, v in ESCAPES.items()}
@@ -155,28 +155,38 @@ def canonical(df: DataFrame, record_col: str, keys: list[str], layouts=LAYOUTS)
 
 
 def format_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, pos, segment)``: each canonical turn rendered, row by row. A conversation's formatted text is its segments in
-    the order of its keys, then ``pos``; a conversation of any length is thus spread over tasks until it is joined."""
+    """The written output ``(keys, pos, segment)``: each canonical turn rendered, row by row. A conversation's formatted text is its segments in
+    the order of its keys, then ``pos``; a conversation of any length is thus spread over tasks until it is joined. A record without a mapping keeps
+    a row, with a null ``pos`` and ``segment``."""
     kept = ", ".join(f"`{k}` {turns.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            segments = [render(r or "", t or "") for r, t in zip(column(batch, "role").to_pylist(), column(batch, "text").to_pylist(), strict=True)]
+            rows = zip(*(column(batch, c).to_pylist() for c in ("pos", "role", "text")), strict=True)
+            segments = [None if at is None else render(r or "", t or "") for at, r, t in rows]
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keys), column(batch, "pos"), pa.array(segments, pa.string())], [*keys, "pos", "segment"])
 
-    flat = turns.select(*keys, F.posexplode("turns").alias("pos", "__turn")).select(*keys, "pos", "__turn.role", "__turn.text")
-    return flat.mapInArrow(run, f"{kept}, pos int, segment string")
+    flat = turns.select(*keys, F.posexplode_outer("turns").alias("pos", "__turn")).select(*keys, "pos", "__turn.role", "__turn.text")
+    return materialize(flat.mapInArrow(run, f"{kept}, pos int, segment string"), "formatted")
 
 
 def turn_records(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A table with a row for each turn as one JSON record a row, of layout ``role, text``."""
-    record = F.to_json(F.struct(F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")), {"ignoreNullFields": "false"})
+    """A table with a row for each turn as one JSON record a row, in three layouts by turn: a bare ``role, text``; a list of one message; and a list of one
+    ``from, value`` pair, for the roles that this layout renames. Each says the same, and their mappings bring back the same turn."""
+    role, text = F.col(role_col).cast("string"), F.col(text_col).cast("string")
+    given = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))[role]
+    kind = F.pmod(F.coalesce(F.col(turn_col).cast("long"), F.lit(0)), F.lit(3))
+    options = {"ignoreNullFields": "false"}
+    bare = F.to_json(F.struct(role.alias("role"), text.alias("text")), options)
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")), options)
+    pairs = F.to_json(F.struct(F.array(F.struct(given.alias("from"), text.alias("value"))).alias("conversations")), options)
+    record = F.when((kind == 1) & given.isNotNull(), pairs).when(kind == 2, messages).otherwise(bare)
     return conversations.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), record.alias("record"))
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Parses each conversation's formatted output again and digests it, as a stream over sorted rows: nothing of a
-    conversation is held but the digests' states."""
+    """Parses each conversation's stored output again and digests it, as a stream over sorted rows: nothing of a
+    conversation is held but the digests' states. Records without a mapping add no turn."""
     id_type = segments.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = {}
@@ -194,6 +204,8 @@ def read_back(segments: DataFrame) -> DataFrame:
                     if begun:
                         close()
                     state, current, begun = [0, hashlib.sha256(), 0, hashlib.sha256(), 0], conv, True
+                if segment is None:
+                    continue
                 for role, text in parse(segment):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())

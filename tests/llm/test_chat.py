@@ -57,3 +57,17 @@ def test_conversations(spark):
         assert got[conv][1:5] == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[conv].formatted_chars == sum(len(C.render(r[2] or "", r[3] or "")) for r in own)
     assert format_conversations(df.limit(0)).count() == 0
+
+
+def test_layouts_of_one_table_and_records_without_a_mapping(spark):
+    """The query's records come in three layouts, told by their fingerprints; a record of an unknown layout keeps its conversation."""
+    rows = [(1, i, r, f"t{i}") for i, r in enumerate(["user", "assistant", "system", "human", "system", "gpt", None, None])]
+    records = C.turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    known = C.canonical(records, "record", ["conv_id", "turn"])
+    assert {r.fingerprint for r in known.collect()} == {C.fingerprint(p) for p in (["role", "text"], ["messages[].role", "messages[].content"], ["conversations[].from", "conversations[].value"])}
+    assert [tuple(r.turns[0]) for r in sorted(known.collect(), key=lambda r: r.turn)] == [(r or "", t) for _, _, r, t in rows]
+    odd = records.unionByName(spark.createDataFrame([(2, 0, '{"who": "x"}'), (1, 9, '{"who": "x"}')], "conv_id long, turn long, record string"))
+    keys = ["conv_id", "turn"]
+    out = C.format_turns(C.canonical(odd, "record", keys), keys)
+    assert out.where("segment is null").count() == 2 and out.count() == len(rows) + 2
+    assert {r.conv_id: r.n_turns for r in C.read_back(out).collect()} == {1: len(rows), 2: 0}
