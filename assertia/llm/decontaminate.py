@@ -1,14 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-``build_index`` cuts the corpus into blocks of whole documents and writes, per block, each term's postings: ascending positions in
-the block's concatenated words, with a gap between documents that no phrase can cross. ``search`` brings test
+``build_index`` cuts the corpus into blocks of whole documents and writes, per block, every term's postings: ascending positions in
+the block's concatenated words, with a gap between documents that no phrase can cross. The index is of the corpus alone and serves any benchmark. ``search`` brings test
 phrases to every block in bounded chunks; within a block a phrase starts from its rarest term's list and intersects the
-others' lists, each moved by the term's offset in the phrase, in order of rarity. Exact phrases need offsets to agree;
-proximity matches let each term lie up to ``slack`` words away from its place.
+others' lists, each moved by the term's offset in the phrase, in order of rarity. Exact phrases need offsets to agree; a
+proximity match is a place at which each term lies at most ``slack`` words away from its own place.
 
 A block is one task's work and is bounded by words (a longer document is a block of its own); nothing is shuffled by term, so a very
-frequent word or passage loads no single task. Test phrases reach tasks in chunks of at most ``CHUNK_WINDOWS``
-phrases; more chunks mean more passes over the index, not a larger broadcast.
+frequent word or passage loads no single task. The benchmark streams through the driver: test phrases reach tasks in chunks of at most ``CHUNK_WINDOWS``
+phrases, each chunk's matches are written and its broadcast is dropped before the next; more chunks mean more passes over the index, not a larger broadcast.
 
 Defined results: null or wordless text has no words, no hits and is not contaminated; repeated rows and repeated ids are
 rows of their own; an item without words matches nothing; equal windows of several items count for each of them; empty tables
@@ -18,7 +18,8 @@ give no rows (documents) or no hits (benchmark); other columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from assertia.llm.common import column, materialize, slices, texts
 
 WINDOW = 13
-#: Words in a block, at which it is closed; phrases in a chunk; terms up to which a vocabulary is sent along at indexing.
-BLOCK_WORDS, CHUNK_WINDOWS, VOCABULARY_TERMS = 400_000, 20_000, 500_000
+#: Words in a block, at which it is closed; phrases in a chunk; words by which a term of a proximity match may be off.
+BLOCK_WORDS, CHUNK_WINDOWS, SLACK = 400_000, 20_000, 2
 #: Bytes of words: digits, ASCII letters (lower-cased) and everything beyond ASCII; the rest separates.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -53,18 +54,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint32), dtype=np.int64)
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: set[bytes] | None = None, gap: int = 64) -> DataFrame:
-    """The written index: a row for each block with its documents' ids (an array), starts and word counts, and its terms with their postings. With a
-    ``vocabulary``, only its terms' postings are kept; positions and counts are those of all words."""
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gap: int = 64) -> DataFrame:
+    """The written index: a row for each block with its documents' ids (an array), starts and word counts, and its terms with their postings."""
     id_type = docs.schema[id_col].dataType
-    share = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(sorted(vocabulary))}) if vocabulary is not None and len(vocabulary) <= VOCABULARY_TERMS else None
 
     def block(ids: list, id_arrow: pa.DataType, lengths: list[int], codes: list[np.ndarray], terms: list[bytes]) -> pa.RecordBatch:
         counts = np.array(lengths, np.int64)
         starts = np.cumsum(np.r_[0, counts[:-1] + gap])
-        places = [np.flatnonzero(c >= 0) for c in codes]
-        code = np.concatenate([c[p] for c, p in zip(codes, places, strict=True)])
-        place = np.concatenate([p + s for p, s in zip(places, starts, strict=True)])
+        code = np.concatenate(codes)
+        place = np.concatenate([np.arange(len(c)) + s for c, s in zip(codes, starts, strict=True)])
         order = np.argsort(code, kind="stable")
         code, place = code[order], place[order]
         cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
@@ -73,42 +71,37 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays(row, ["ids", "starts", "counts", "terms", "postings"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = share.value if share is not None else None
-        terms = list(fixed) if fixed is not None else []
         known: dict[bytes, int] = {}
         ids, lengths, codes, held = [], [], [], 0
         for batch in slices(batches, "t"):
             for i, text in zip(column(batch, "i").to_pylist(), texts(batch, "t"), strict=True):
                 w = words(text)
                 if ids and held + len(w) > BLOCK_WORDS:
-                    yield block(ids, column(batch, "i").type, lengths, codes, terms if fixed is not None else list(known))
+                    yield block(ids, column(batch, "i").type, lengths, codes, list(known))
                     ids, lengths, codes, held = [], [], [], 0
                     known.clear()
-                if fixed is not None:
-                    code = np.fromiter((fixed.get(x, -1) for x in w), np.int32, len(w))
-                else:
-                    code = np.fromiter((known.setdefault(x, len(known)) for x in w), np.int32, len(w))
+                for x in set(w).difference(known):
+                    known[x] = len(known)
+                codes.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
                 ids.append(i)
                 lengths.append(len(w))
-                codes.append(code)
                 held += len(w)
             last = column(batch, "i").type
         if ids:
-            yield block(ids, last, lengths, codes, terms if fixed is not None else list(known))
+            yield block(ids, last, lengths, codes, list(known))
 
     schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("starts binary, counts binary, terms array<binary>, postings array<binary>").fields])
     return materialize(docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema), "postings")
 
 
-def match_phrase(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], slack: int = 0) -> np.ndarray:
-    """Block positions at which the phrase begins: the rarest term's list, moved to the phrase's start, kept where every other
-    term's moved list has a position within ``slack``."""
-    found = [(len(lists[w]), o, w) if w in lists else None for o, w in enumerate(phrase)]
-    if None in found:
-        return np.zeros(0, np.int64)
-    found.sort()
+def match_phrase(lists: Mapping[bytes, np.ndarray], phrase: tuple[bytes, ...], slack: int = 0) -> np.ndarray:
+    """Ascending block positions at which the phrase begins: the rarest term's list, moved to the phrase's start (and, with slack, to every start that lets it
+    be off), kept where each term's moved list has a position within ``slack``. Which term is the rarest does not matter for the result."""
+    found = sorted((len(lists[w]), o, w) for o, w in enumerate(phrase))
     _, offset, word = found[0]
     starts = lists[word] - offset
+    if slack:
+        starts = np.unique(starts[:, None] + np.arange(-slack, slack + 1))
     for _, offset, word in found[1:]:
         if not len(starts):
             break
@@ -118,38 +111,83 @@ def match_phrase(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], slac
     return starts
 
 
+class Postings(dict):
+    """A block's lists by term, unpacked when first asked for."""
+
+    def __init__(self, packed: dict[bytes, bytes]):
+        super().__init__()
+        self.packed = packed
+
+    def __missing__(self, term: bytes) -> np.ndarray:
+        value = self[term] = _unpacked(self.packed[term])
+        return value
+
+
+def merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans of words, sorted and joined where they touch."""
+    out: list[dict] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], b)
+        else:
+            out.append({"start": a, "end": b})
+    return out
+
+
 def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], *, slack: int = 0) -> DataFrame:
-    """One pass of a chunk of phrases (each with its items' names) over the index: ``(id, n_words, spans, items)`` for each
-    document row, spans being ``start, length`` of each match in the document's words."""
+    """One pass of a chunk of phrases (each with its items' names) over the index, written: ``(id, spans, items, near)`` for each document row that has a match, spans being
+    joined runs ``start, end`` of its words inside exact matches, items those of exact matches, and near those of proximity matches."""
     share = index.sparkSession.sparkContext.broadcast(list(phrases.items()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried: dict[bytes, list] = defaultdict(list)  # a phrase is tried in a block only if its longest word is there
+        tried: dict[bytes, list] = defaultdict(list)  # a phrase is tried in a block only if its longest word is there, then all others
         for phrase, of in share.value:
-            tried[max(phrase, key=len)].append((phrase, of))
+            tried[max(phrase, key=len)].append((phrase, frozenset(phrase), of))
         for batch in batches:
             for b in range(batch.num_rows):
                 ids = column(batch, "ids")[b].values
                 starts, counts = (np.frombuffer(column(batch, c)[b].as_py(), np.int64) for c in ("starts", "counts"))
-                terms, packed = (column(batch, c)[b].as_py() for c in ("terms", "postings"))
-                lists = {t: _unpacked(p) for t, p in zip(terms, packed, strict=True)}
-                spans: list[list] = [[] for _ in counts]
-                items: list[set] = [set() for _ in counts]
-                for phrase, of in (x for t in terms if t in tried for x in tried[t]):
-                    for s in match_phrase(lists, phrase, slack).tolist():
-                        d = max(int(np.searchsorted(starts, s, side="right")) - 1, 0)
-                        if slack and s + len(phrase) > starts[d] + counts[d] + slack:
-                            d = min(d + 1, len(starts) - 1)  # a moved start before its document's first word
-                        first = max(s - int(starts[d]), 0)
-                        spans[d].append({"start": first, "length": min(len(phrase) + slack, int(counts[d]) - first)})
-                        items[d].update(of)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+                packed = dict(zip(*(column(batch, c)[b].as_py() for c in ("terms", "postings")), strict=True))
+                lists = Postings(packed)
+                spans: dict[int, list] = defaultdict(list)
+                items: dict[int, set] = defaultdict(set)
+                near: dict[int, set] = defaultdict(set)
+                for t in tried.keys() & packed.keys():
+                    for phrase, terms, of in tried[t]:
+                        if not terms <= packed.keys():
+                            continue
+                        loose = match_phrase(lists, phrase, slack)
+                        if not len(loose):
+                            continue
+                        # a start may lie up to slack before its document's first word
+                        for d in np.unique(np.searchsorted(starts, loose + slack, side="right") - 1).tolist():
+                            near[d].update(of)
+                        for s in match_phrase(lists, phrase).tolist() if slack else loose.tolist():
+                            d = int(np.searchsorted(starts, s, side="right")) - 1
+                            spans[d].append((s - int(starts[d]), s - int(starts[d]) + len(phrase)))
+                            items[d].update(of)
+                at = sorted(near)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([merged(spans[d]) for d in at], _SPANS), *(pa.array([sorted(x[d]) for d in at], pa.list_(pa.string())) for x in (items, near))], ["id", "spans", "items", "near"])
+
+    schema = T.StructType([T.StructField("id", index.schema["ids"].dataType.elementType), *T._parse_datatype_string("spans array<struct<start:long,end:long>>, items array<string>, near array<string>").fields])
+    found = materialize(index.mapInArrow(run, schema), "matches")
+    share.destroy()
+    return found
+
+
+def indexed_rows(index: DataFrame) -> DataFrame:
+    """``(id, n_words)`` of every document row of the index."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([column(batch, "ids")[b].values, pa.array(np.frombuffer(column(batch, "counts")[b].as_py(), np.int64))], ["id", "n_words"])
 
-    schema = T.StructType([T.StructField("id", index.schema["ids"].dataType.elementType), *T._parse_datatype_string("n_words long, spans array<struct<start:long,length:long>>, items array<string>").fields])
-    return index.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", index.schema["ids"].dataType.elementType), T.StructField("n_words", T.LongType())])
+    return index.select("ids", "counts").mapInArrow(run, schema)
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[dict[tuple[bytes, ...], list[str]]]:
@@ -165,21 +203,25 @@ def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col
         yield chunk
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``(id, n_words, n_hit, n_items, items_sha256, contaminated, items)`` for every document row: words inside exact occurrences
-    of benchmark windows, and the items these are of. The benchmark's windows pass through the driver."""
-    chunks = list(benchmark_windows(benchmark, id_col=item_col)) or [{}]
-    vocabulary = {t for c in chunks for w in c for t in w}
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", slack: int = SLACK) -> DataFrame:
+    """``(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items)`` for every document row: words inside exact occurrences
+    of benchmark windows, the items these are of, and the number of items of which some window has a proximity match."""
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("k"), F.col(text_col).alias("text"))
-    # the index is a written table, so a row's number is the same in every pass
-    index = build_index(rows, id_col="k", vocabulary=vocabulary)
-    found = None
-    for chunk in chunks:
-        passed = search(index, chunk).select("id.row", "id.id", "n_words", "spans", "items")
-        found = passed if found is None else found.unionByName(passed)
-    if len(chunks) > 1:
-        found = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    inside = F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.length - 1)))
-    items = F.array_sort("items")
-    out = found.select(F.col("id").alias(id_col), "n_words", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    index = build_index(rows, id_col="k")  # a written table, so that a row's number is the same in every pass
+    passes = [search(index, chunk, slack=slack) for chunk in benchmark_windows(benchmark, id_col=item_col)]
+    base = indexed_rows(index).select("id.row", F.col("id.id").alias("of"), "n_words")
+    if not passes:
+        found = base.select("row").where(F.lit(False)).selectExpr("row", "cast(array() as array<struct<start:bigint,end:bigint>>) as spans", "cast(array() as array<string>) as items", "cast(array() as array<string>) as near")
+    else:
+        found = reduce(DataFrame.unionByName, passes).select("id.row", "spans", "items", "near")
+    gathered = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near")))
+    zero = F.lit(0).cast("long")
+    # spans in order: each adds what lies beyond the furthest end so far
+    hit = F.aggregate("spans", F.struct(zero.alias("n"), zero.alias("end")), lambda x, s: F.struct((x["n"] + F.greatest(zero, s["end"] - F.greatest(s["start"], x["end"]))).alias("n"), F.greatest(x["end"], s["end"]).alias("end")), lambda x: x["n"])
+    none = F.array().cast("array<string>")
+    items, near = (F.coalesce(c, none) for c in ("items", "near"))
+    out = base.join(gathered, "row", "left").select(
+        F.col("of").alias(id_col), "n_words", F.coalesce(hit, zero).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.coalesce(hit, zero) * 20 >= F.greatest("n_words", F.lit(1))).alias("contaminated"), F.size(near).cast("long").alias("n_near"), items.alias("items"),
+    )
+    return out

@@ -120,9 +120,16 @@ sizes AS (SELECT DISTINCT n FROM win),
 spot AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT r, i, spot.n, item_id FROM spot JOIN win USING (s) WHERE spot.n = win.n),
 spots AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r),
+place AS (SELECT r, unnest(generate_series(1, len(w))) AS p, unnest(w) AS t FROM dw),
+freq AS (SELECT t, count(*) AS f FROM place GROUP BY t),
+tm AS (SELECT DISTINCT s, n, unnest(generate_series(0, n - 1)) AS o, unnest(string_split(s, ' ')) AS t FROM win),
+rare AS (SELECT s, any_value(n) AS n, arg_min(o, f) AS o, arg_min(t, f) AS t FROM tm JOIN freq USING (t) GROUP BY s HAVING count(*) = any_value(n)),
+cand AS (SELECT DISTINCT s, n, r, p - o + k AS st FROM rare JOIN place USING (t), (SELECT unnest([-2, -1, 0, 1, 2]) AS k)),
+loose AS (SELECT s, cand.r AS r FROM cand JOIN tm USING (s, n) JOIN place ON place.r = cand.r AND place.t = tm.t AND place.p BETWEEN st + tm.o - 2 AND st + tm.o + 2 GROUP BY s, cand.r, st HAVING count(DISTINCT tm.o) = any_value(cand.n)),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM loose JOIN win USING (s) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(x, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN spots USING (r) LEFT JOIN items USING (r)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN spots USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
 """,
 }

@@ -60,11 +60,38 @@ def test_empty(spark):
     assert all(r[2] == 0 for r in rows(D.contamination(docs, items.limit(0))))
 
 
-def test_proximity_and_full_vocabulary(spark):
+def near(docs, items, slack=2):
+    """Items of which some window has every word within ``slack`` of its place, by trying every start."""
+    out = []
+    for i, text in docs:
+        w, names = split(text), set()
+        for name, t in items:
+            b = split(t)
+            for k in range(max(1, len(b) - 12) if b else 0):
+                win = b[k : k + 13]
+                if any(all(x in w[max(0, s + o - slack) : max(0, s + o + slack + 1)] for o, x in enumerate(win)) for s in range(-slack, len(w) + slack)):
+                    names.add(str(name))
+        out.append((i, len(names)))
+    return sorted(out, key=str)
+
+
+def test_proximity_against_brute_force(spark):
+    words = ITEM.split()
+    swapped = words[:3] + [words[4], words[3]] + words[5:]
+    added = words[:6] + ["new"] + words[6:]
+    docs = [*DOCS, (20, " ".join(swapped)), (21, " ".join(added)), (22, " ".join(words[::-1])), (23, " ".join(words[:5] + ["a", "b", "c", "d"] + words[5:])), (24, "item short Ümlaut"), (25, "short of Ümlaut"), (26, "Ümlaut item x short")]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), frames(spark)[1]
+    got = sorted(((r.doc_id, r.n_near) for r in D.contamination(df.coalesce(1), items).collect()), key=str)
+    assert got == near(docs, ITEMS)
+    assert dict(got)[20] and dict(got)[21] and dict(got)[24] and not dict(got)[22] and not dict(got)[25]
+
+
+def test_an_index_serves_any_phrases(spark):
     docs = spark.createDataFrame([(1, "the quick very brown fox"), (2, "brown the quick"), (3, "fox")], "doc_id long, text string")
     index = D.build_index(docs)
     assert {t for r in index.collect() for t in map(bytes, r.terms)} == {b"the", b"quick", b"very", b"brown", b"fox"}
-    found = {r.id: r.items for r in D.search(index, {(b"the", b"quick", b"brown"): ["p"]}, slack=1).collect()}
-    assert found == {1: ["p"], 2: [], 3: []}
-    exact = {r.id: [tuple(s) for s in r.spans] for r in D.search(index, {(b"quick", b"very"): ["p"]}).collect()}
-    assert exact == {1: [(1, 2)], 2: [], 3: []}
+    assert {(r.id, r.n_words) for r in D.indexed_rows(index).collect()} == {(1, 5), (2, 3), (3, 1)}
+    found = {r.id: (r.items, r.near) for r in D.search(index, {(b"the", b"quick", b"brown"): ["p"]}, slack=1).collect()}
+    assert found == {1: ([], ["p"])}
+    exact = {r.id: [tuple(s) for s in r.spans] for r in D.search(index, {(b"quick", b"very"): ["p"], (b"very", b"brown"): ["q"]}).collect()}
+    assert exact == {1: [(1, 4)]}
