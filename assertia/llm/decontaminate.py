@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,80 +47,83 @@ def item_windows(text: bytes, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return list(dict.fromkeys(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))) if w else []
 
 
-def _packed(positions: np.ndarray) -> bytes:
-    return np.diff(positions, prepend=0).astype(np.uint32).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint32), dtype=np.int64)
-
-
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gap: int = 64) -> DataFrame:
-    """The written index: a row for each block with its documents' ids (an array), starts and word counts, and its terms with their postings."""
+    """The written index: a row for each block with its documents' ids (an array), starts and word counts, its terms, and all postings as one run of
+    differences, ``cuts`` telling where each term's begin; a term's first is its position itself."""
     id_type = docs.schema[id_col].dataType
 
-    def block(ids: list, id_arrow: pa.DataType, lengths: list[int], codes: list[np.ndarray], terms: list[bytes]) -> pa.RecordBatch:
+    def block(ids: list, id_arrow: pa.DataType, lengths: list[int], held: list[bytes]) -> pa.RecordBatch:
         counts = np.array(lengths, np.int64)
         starts = np.cumsum(np.r_[0, counts[:-1] + gap])
-        code = np.concatenate(codes)
-        place = np.concatenate([np.arange(len(c)) + s for c, s in zip(codes, starts, strict=True)])
-        order = np.argsort(code, kind="stable")
+        place = np.arange(len(held)) + np.repeat(starts - np.cumsum(np.r_[0, counts[:-1]]), counts)
+        coded = pa.array(held, pa.binary()).dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else code, kind="stable")
         code, place = code[order], place[order]
-        cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-        lists = [_packed(place[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(code)][: len(cut)], strict=True)]
-        row = [pa.array([ids], pa.list_(id_arrow)), *(pa.array([x.tobytes()], pa.binary()) for x in (starts, counts)), pa.array([[terms[c] for c in code[cut]]], pa.list_(pa.binary())), pa.array([lists], pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(row, ["ids", "starts", "counts", "terms", "postings"])
+        cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        steps = np.diff(place, prepend=0)
+        steps[cuts] = place[cuts]
+        blobs = (starts, counts, np.r_[cuts, len(code)], steps.astype(np.uint32))
+        row = [pa.array([ids], pa.list_(id_arrow)), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.ListArray.from_arrays(pa.array([0, len(cuts)], pa.int32()), coded.dictionary)]
+        return pa.RecordBatch.from_arrays(row, ["ids", "starts", "counts", "cuts", "postings", "terms"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        ids, lengths, codes, held = [], [], [], 0
+        ids, lengths, held = [], [], []
         for batch in slices(batches, "t"):
             for i, text in zip(column(batch, "i").to_pylist(), texts(batch, "t"), strict=True):
                 w = words(text)
-                if ids and held + len(w) > BLOCK_WORDS:
-                    yield block(ids, column(batch, "i").type, lengths, codes, list(known))
-                    ids, lengths, codes, held = [], [], [], 0
-                    known.clear()
-                for x in set(w).difference(known):
-                    known[x] = len(known)
-                codes.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
+                if ids and len(held) + len(w) > BLOCK_WORDS:
+                    yield block(ids, column(batch, "i").type, lengths, held)
+                    ids, lengths, held = [], [], []
                 ids.append(i)
                 lengths.append(len(w))
-                held += len(w)
+                held += w
             last = column(batch, "i").type
         if ids:
-            yield block(ids, last, lengths, codes, list(known))
+            yield block(ids, last, lengths, held)
 
-    schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("starts binary, counts binary, terms array<binary>, postings array<binary>").fields])
+    schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("starts binary, counts binary, cuts binary, postings binary, terms array<binary>").fields])
     return materialize(docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema), "postings")
 
 
 def match_phrase(lists: Mapping[bytes, np.ndarray], phrase: tuple[bytes, ...], slack: int = 0) -> np.ndarray:
     """Ascending block positions at which the phrase begins: the rarest term's list, moved to the phrase's start (and, with slack, to every start that lets it
-    be off), kept where each term's moved list has a position within ``slack``. Which term is the rarest does not matter for the result."""
+    be off), kept where each other term's moved list has a position within ``slack``. Which term is the rarest does not matter for the result."""
     found = sorted((len(lists[w]), o, w) for o, w in enumerate(phrase))
+
+    def kept(starts: np.ndarray, offset: int, word: bytes, off: int) -> np.ndarray:
+        other = lists[word] - offset
+        at = np.searchsorted(other, starts - off)
+        return starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= starts + off)]
+
     _, offset, word = found[0]
     starts = lists[word] - offset
     if slack:
+        # two terms that are each off by slack are off by twice as much from each other
+        for _, o, w in found[1:]:
+            if not len(starts):
+                return starts
+            starts = kept(starts, o, w, 2 * slack)
         starts = np.unique(starts[:, None] + np.arange(-slack, slack + 1))
-    for _, offset, word in found[1:]:
+    for _, o, w in found[1:]:
         if not len(starts):
             break
-        other = lists[word] - offset
-        at = np.searchsorted(other, starts - slack)
-        starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= starts + slack)]
+        starts = kept(starts, o, w, slack)
     return starts
 
 
 class Postings(dict):
-    """A block's lists by term, unpacked when first asked for."""
+    """A block's lists of wanted terms, unpacked when first asked for."""
 
-    def __init__(self, packed: dict[bytes, bytes]):
+    def __init__(self, terms: pa.Array, wanted: pa.Array, cuts: bytes, postings: bytes):
         super().__init__()
-        self.packed = packed
+        self.cuts, self.steps = np.frombuffer(cuts, np.int64), np.frombuffer(postings, np.uint32)
+        at = np.flatnonzero(pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False)) if len(terms) else np.zeros(0, np.int64)
+        self.at = dict(zip(terms.take(pa.array(at)).to_pylist(), at.tolist(), strict=True)) if len(at) else {}
 
     def __missing__(self, term: bytes) -> np.ndarray:
-        value = self[term] = _unpacked(self.packed[term])
+        k = self.at[term]
+        value = self[term] = np.cumsum(self.steps[self.cuts[k] : self.cuts[k + 1]], dtype=np.int64)
         return value
 
 
@@ -143,18 +147,18 @@ def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], *, sla
         tried: dict[bytes, list] = defaultdict(list)  # a phrase is tried in a block only if its longest word is there, then all others
         for phrase, of in share.value:
             tried[max(phrase, key=len)].append((phrase, frozenset(phrase), of))
+        wanted = pa.array(sorted({t for phrase, _ in share.value for t in phrase}), pa.binary())
         for batch in batches:
             for b in range(batch.num_rows):
                 ids = column(batch, "ids")[b].values
                 starts, counts = (np.frombuffer(column(batch, c)[b].as_py(), np.int64) for c in ("starts", "counts"))
-                packed = dict(zip(*(column(batch, c)[b].as_py() for c in ("terms", "postings")), strict=True))
-                lists = Postings(packed)
+                lists = Postings(column(batch, "terms")[b].values, wanted, *(column(batch, c)[b].as_py() for c in ("cuts", "postings")))
                 spans: dict[int, list] = defaultdict(list)
                 items: dict[int, set] = defaultdict(set)
                 near: dict[int, set] = defaultdict(set)
-                for t in tried.keys() & packed.keys():
+                for t in tried.keys() & lists.at.keys():
                     for phrase, terms, of in tried[t]:
-                        if not terms <= packed.keys():
+                        if not terms <= lists.at.keys():
                             continue
                         loose = match_phrase(lists, phrase, slack)
                         if not len(loose):
