@@ -69,3 +69,60 @@ def test_held_out_and_edges(spark):
     assert np.mean(right) > 0.95
     empty = T.toxicity(docs.limit(0), labels.limit(0), bucket_of(labels.doc_id, 3) != 1)
     assert empty.count() == 0
+
+
+def plain_score(net, text):
+    """Highest window logit by plain loops: one window, one step and one unit at a time."""
+    import math
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h_, sig = T.HIDDEN, lambda x: 1 / (1 + math.exp(-x))
+    w = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in text).split()
+
+    def vector(word):
+        marked = b"<" + word + b">"
+        codes = []
+        for i in range(len(marked) - 2):
+            three = marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2]
+            codes.append((three * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - T.CHAR_BITS))
+            if i + 3 < len(marked):
+                codes.append((((three << 8 | marked[i + 3]) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - T.CHAR_BITS))
+        chars = [sum(p["char"][c][j] for c in codes) / len(codes) for j in range(T.CHAR_DIM)]
+        x = p["word"][net.index.get(word, 0)] + chars
+        return [sum(x[i] * p["w"][i][j] for i in range(len(x))) + p["b"][j] for j in range(6 * h_)]
+
+    def direction(xs, u):
+        h, out = [0.0] * h_, []
+        for x in xs:
+            g = [sum(h[i] * u[i][j] for i in range(h_)) for j in range(3 * h_)]
+            z = [sig(x[j] + g[j]) for j in range(h_)]
+            r = [sig(x[h_ + j] + g[h_ + j]) for j in range(h_)]
+            new = [math.tanh(x[2 * h_ + j] + r[j] * g[2 * h_ + j]) for j in range(h_)]
+            h = [new[j] + z[j] * (h[j] - new[j]) for j in range(h_)]
+            out.append(h)
+        return out
+
+    if not w:
+        return p["c"][0]
+    xs, best = [vector(x) for x in w], -math.inf
+    starts = {0, *(s for s in range(0, len(w), T.STRIDE) if s + T.SIZE <= len(w)), max(0, len(w) - T.SIZE)}
+    for s in starts:
+        part = xs[s : s + T.SIZE]
+        ahead = direction([x[: 3 * h_] for x in part], p["uf"])
+        back = direction([x[3 * h_ :] for x in part][::-1], p["ub"])[::-1]
+        states = [a + b for a, b in zip(ahead, back)]
+        e = [sum(math.tanh(sum(state[i] * p["a"][i][j] for i in range(2 * h_))) * p["v"][j] for j in range(T.ATTENTION)) for state in states]
+        top = max(e)
+        alpha = [math.exp(x - top) for x in e]
+        pooled = [sum(a * state[i] for a, state in zip(alpha, states)) / sum(alpha) for i in range(2 * h_)]
+        best = max(best, sum(pooled[i] * p["o"][i] for i in range(2 * h_)) + p["c"][0])
+    return best
+
+
+def test_scores_against_plain_loops():
+    rows = [(t.encode(), y) for _, t, y in corpus(150, 4)]
+    net = T.train(rows, steps=(20, 20))
+    tried = [rows[0][0], b"", b"...", b"one", "Grobl ÉTÉ zwickung 77".encode(), rows[1][0] * 3, b" ".join([b"ban"] * 32), b" ".join([b"ban"] * 33), b"x y" * 70]
+    got, _ = net.scores(tried)
+    for text, score in zip(tried, got.tolist(), strict=True):
+        assert abs(score - plain_score(net, text)) < 1e-3 * max(1, abs(score))
