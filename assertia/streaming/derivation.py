@@ -28,7 +28,6 @@ from assertia.sources.relation import claim_frame, first_pointer
 from assertia.streaming.reactor import Reactor, validated
 
 DEPTH = 32
-NOTHING = "root string, prop string, value struct<rank:int,bool:boolean,num:double,str:string,cbor:binary>, items array<struct<rank:int,bool:boolean,num:double,str:string,cbor:binary>>"
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """Incremental views: claims arrive in micro-batches, and only what a batch touches is resolved again.
 
 All state is files below one folder: per batch, the accepted claims (dealt by a hash of their id), three indexes (claims by the entity they point at,
-negations by their target, values by role), the rejected claims with reasons, and for each registered view the rows of the roots that the batch
-touched. A batch counts once its version of the state is written: what an interrupted attempt left is never read, a batch that comes again after that changes nothing,
+negations by their target, values by role), and for each registered view the rows of the roots that the batch
+touched. What became of each claim, and why one was turned away, is returned as a written table. A batch counts once its version of the state is written: what an interrupted attempt left is never read, a batch that comes again after that changes nothing,
 and a reactor opened on the folder goes on where the last one ended. Arrival order never matters and nothing arrives too late, so there is no watermark.
 
 A root's view is the rows of the last batch that touched it, so a batch writes in proportion to what it touches; every ``COMPACT`` batches a view's parts become one.
@@ -12,7 +12,6 @@ Index tables are partitioned by buckets, and a lookup reads only the buckets of
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -28,7 +27,8 @@ from assertia.functions.canon import encode
 from assertia.functions.ed25519 import verify_id
 from assertia.operators.claims import CLAIM_DDL, COLUMNS, POINTER, ClaimSet
 from assertia.operators.mask import NEGATES
-from assertia.operators.views import View, expanded_entities
+from assertia.operators.predicates import pointer_matches, str_match
+from assertia.operators.views import View
 from assertia.plans.planner import Planner, Resolved
 from assertia.plans.registry import Registry
 from assertia.plans.tables import fresh_path, written
@@ -44,32 +44,34 @@ CHANGES_DDL = "root string, prop string, hash string"
 LANE = {"e": "entity", "d": "delta_ref", "y": "bytes"}
 
 
-def fault(row: dict) -> str | None:
-    """Why a claim row is outside the data model, but for its id and signature."""
-    if not row["author"]:
-        return "author must be a non-empty string"
-    if row["timestamp"] is None or not math.isfinite(row["timestamp"]):
-        return "timestamp must be a finite number"
-    if not row["pointers"]:
-        return "claims have at least one pointer"
-    for p in row["pointers"]:
-        if p is None or not p["role"]:
-            return "role must be a non-empty string"
-        if p["kind"] == "p":
-            if p["rank"] not in (0, 1, 2) or (value := p[("bool", "num", "str")[p["rank"]]]) is None or (p["rank"] == 1 and not math.isfinite(value)):
-                return "a primitive must be a boolean, a finite number or a string"
-        elif p["kind"] not in LANE or p[LANE[p["kind"]]] is None or (p["kind"] == "y" and not p["mime"]):
-            return "a target is a primitive, an entity, a claim or bytes"
-    return None
+def fault() -> Column:
+    """Why a claim row is outside the data model, but for what its id and signature say; null for a sound one."""
+
+    def wrong(p: Column) -> Column:
+        number = p["num"].isNotNull() & ~F.isnan(p["num"]) & (F.abs(p["num"]) < float("inf"))
+        primitive = F.when(p["rank"] == 0, p["bool"].isNotNull()).when(p["rank"] == 1, number).when(p["rank"] == 2, p["str"].isNotNull())
+        filled = F.when(p["kind"] == "p", primitive).when(p["kind"] == "y", p["bytes"].isNotNull() & (F.length(p["mime"]) > 0)).when(p["kind"] == "e", p["entity"].isNotNull()).when(p["kind"] == "d", p["delta_ref"].isNotNull())
+        return ~F.coalesce(filled, F.lit(False))
+
+    at = F.col("timestamp")
+    return (
+        F.when(F.col("id").isNull() | (F.col("id") == ""), "there is no id")
+        .when(F.col("author").isNull() | (F.col("author") == ""), "author must be a non-empty string")
+        .when(at.isNull() | F.isnan(at) | (F.abs(at) == float("inf")), "timestamp must be a finite number")
+        .when(F.col("pointers").isNull() | (F.size("pointers") == 0), "claims have at least one pointer")
+        .when(F.exists("pointers", lambda p: p.isNull() | p["role"].isNull() | (p["role"] == "")), "role must be a non-empty string")
+        .when(F.exists("pointers", wrong), "a target is a boolean, a finite number, a string, an entity, a claim or bytes")
+    )
 
 
 def validated(batch: DataFrame, verify: bool = True) -> DataFrame:
     """Claim rows with ``reason``, null for a valid one: its shape is right and, if ``verify``, its id is its content's address and a signature, if there is one, is its author's."""
+    checked = batch.select(*COLUMNS, fault().alias("reason"))
+    if not verify:
+        return checked
 
     def reasons(rows: list[dict]) -> list[str | None]:
-        out = [fault(r) if r["id"] else "there is no id" for r in rows]
-        if not verify:
-            return out
+        out = [r["reason"] for r in rows]
         able = [i for i, x in enumerate(out) if x is None]
         for i, own in zip(able, content_addresses([encode(claim_body(rows[i]["author"], rows[i]["timestamp"], rows[i]["pointers"])) for i in able]), strict=True):
             r = rows[i]
@@ -81,9 +83,9 @@ def validated(batch: DataFrame, verify: bool = True) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reasons(b.to_pylist()), pa.string())], [*b.schema.names, "reason"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(reasons(b.to_pylist()), pa.string())], b.schema.names)
 
-    return batch.select(*COLUMNS).mapInArrow(run, f"{CLAIM_DDL}, reason string")
+    return checked.mapInArrow(run, f"{CLAIM_DDL}, reason string")
 
 
 def targets_of(kind: str, role: str | None = None) -> Column:
@@ -114,8 +116,7 @@ def support(view: View) -> DataFrame:
     """``(root, entity)``: the entities, besides itself, whose views a root's view reads."""
     out = view.entries.select("root", F.col("root").alias("entity")).where(F.lit(False))
     for e in view.expansions:
-        role = View(view.entries, view.roots, view.layout)
-        named = targets_named(role, e.role)
+        named = targets_named(view, e.role)
         below = support(e.child).select(F.col("root").alias("through"), F.col("entity").alias("deeper"))
         out = out.unionByName(named).unionByName(named.join(below, named.entity == F.col("through")).select("root", F.col("deeper").alias("entity")))
     return out.distinct()
@@ -125,8 +126,6 @@ def targets_named(view: View, role: dict) -> DataFrame:
     """``(root, entity)`` of pointers of matching roles."""
     if view.layout is not None:
         return targets_named(View(view.entries.select("root", "prop", "id", "pointers"), view.roots), role)
-    from assertia.operators.predicates import str_match
-
     mine = F.filter("pointers", lambda p: (p["kind"] == "e") & str_match(p["role"], role))
     return view.entries.select("root", F.explode(F.transform(mine, lambda p: p["entity"])).alias("entity")).distinct()
 
@@ -201,8 +200,6 @@ class Reactor:
 
     def by_value(self, role: str, match: dict) -> DataFrame:
         """Ids of claims that have a primitive under a role which a match (``vcmp``, ``between`` or ``inSet``) admits."""
-        from assertia.operators.predicates import pointer_matches
-
         found = self._read("values", self._one(role)).where(pointer_matches(F.col("p"), {"role": {"exact": role}, "targetValue": match}, None))
         return found.select("id").distinct()
 
@@ -240,7 +237,7 @@ class Reactor:
 
     def _part(self, found: Resolved, roots: DataFrame | None, view: dict) -> dict:
         """Writes one part of a view: the rows of its roots, which roots these are (None: all), and what entities they read."""
-        path, part = fresh_path(self.spark, "view") if not self.path else f"{self.path}/views/{uuid.uuid4().hex}", {}
+        path, part = f"{self.path}/views/{uuid.uuid4().hex}", {}
         found.rows.select("root", "prop", "value", "items").write.parquet(f"{path}/rows")
         part["rows"] = f"{path}/rows"
         if roots is not None:
@@ -299,7 +296,7 @@ class Reactor:
         good = checked.where("reason is null").select(*COLUMNS).dropDuplicates(["id"])
         self._write(good.join(known, "id", "left_anti"), "id", f"{path}/log")
         new = self.spark.read.schema(f"{CLAIM_DDL}, bucket int").parquet(f"{path}/log").drop("bucket")
-        fresh = new.select("id", F.lit(True).alias("fresh")).join(checked.groupBy("id").agg(F.min("reason").alias("of")).where("false").select("id"), "id", "left_anti")
+        fresh = new.select("id", F.lit(True).alias("fresh"))
         outcomes = checked.select("id", "reason").distinct().join(fresh, "id", "left")
         status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("fresh"), "accepted").otherwise("duplicate")
         outcomes = written(outcomes.select("id", status.alias("status"), "reason"), "outcomes")
@@ -357,7 +354,7 @@ class Reactor:
             claims = claims.unionByName(last)
 
     def _refresh(self, view: dict, named: DataFrame) -> DataFrame:
-        """Resolves again the roots that a batch touched, appends them to the view and returns what changed, with the claims responsible in ``responsible``."""
+        """Resolves again the roots that a batch touched, appends them to the view and returns what changed."""
         roots = named.select("root").distinct()
         if not at_a_root(view["term"], self.registry):
             roots = None
@@ -403,6 +400,3 @@ class Reactor:
             self.ingest(batch, number)
 
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint or f"{self.path}/checkpoint").trigger(availableNow=True).start()
-
-
-__all__ = ["Reactor", "at_a_root", "expanded_entities", "fault", "support", "validated"]
