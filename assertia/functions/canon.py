@@ -11,7 +11,7 @@ import math
 import struct
 
 
-def _head(major: int, n: int) -> bytes:
+def head(major: int, n: int) -> bytes:
     if n < 24:
         return bytes([major << 5 | n])
     for code, size in ((24, 1), (25, 2), (26, 4), (27, 8)):
@@ -41,14 +41,14 @@ def encode(value: object) -> bytes:
         return _float(value)
     if isinstance(value, str):
         data = value.encode()
-        return _head(3, len(data)) + data
+        return head(3, len(data)) + data
     if isinstance(value, bytes):
-        return _head(2, len(value)) + value
+        return head(2, len(value)) + value
     if isinstance(value, list | tuple):
-        return _head(4, len(value)) + b"".join(map(encode, value))
+        return head(4, len(value)) + b"".join(map(encode, value))
     if isinstance(value, dict):
         items = sorted((encode(k), v) for k, v in value.items() if _text_key(k))
-        return _head(5, len(items)) + b"".join(k + (v.data if isinstance(v, Encoded) else encode(v)) for k, v in items)
+        return head(5, len(items)) + b"".join(k + (v.data if isinstance(v, Encoded) else encode(v)) for k, v in items)
     if isinstance(value, Encoded):
         return value.data
     raise TypeError(f"no canonical form for {type(value).__name__}")
@@ -135,6 +135,8 @@ def decode(data: bytes) -> object:
     value = reader.item()
     if reader.at != len(data):
         raise ValueError("trailing bytes")
+    if encode(value) != data:
+        raise ValueError("not the shortest form, or keys out of order")
     return value
 
 

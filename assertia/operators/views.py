@@ -51,7 +51,7 @@ def group(claims: ClaimSet, key: Any, roots: DataFrame | None) -> View:
         if not claims.rooted:
             if roots is None:
                 raise TermError("a fixed property needs given roots")
-            df = df.crossJoin(F.broadcast(roots))  # every claim files at every root, by definition
+            df = df.crossJoin(roots)  # every claim files at every root, by definition; few roots are broadcast by their size alone
         return View(df.select("root", prop, _negated(claims), *kept), roots, claims.layout)
     by_context = key == "byTargetContext"
     if claims.layout is not None:

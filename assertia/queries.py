@@ -798,15 +798,35 @@ def nested_reading(spark, d):
 
 @query()
 def set_digest(spark, d):
-    df = read(spark, d, "nation")
-    claims = encode_relation(df, "nation")
-    return spark.createDataFrame([(digest(claims),)], "digest string")
+    """One digest of all orders."""
+    return spark.createDataFrame([(digest(orders(spark, d)[1]),)], "digest string")
 
 
-@query()
+_ADDRESSED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+def addressed_orders(spark, d) -> tuple[DataFrame, ClaimSet]:
+    df = read(spark, d, "orders")
+    return df, encode_relation(df, "orders", _ADDRESSED)
+
+
+@query(f"SELECT {', '.join(_ADDRESSED)} FROM orders")
 def pack_roundtrip(spark, d):
-    """A packed set, read back: ids are recomputed from what the pack holds."""
-    from assertia.sources.pack import pack, unpack
+    """All orders as written packs, read back: ids are recomputed from what the packs hold."""
+    from assertia.plans.tables import written
+    from assertia.sources.pack import packs, read_packs
+
+    df, claims = addressed_orders(spark, d)
+    return decode_relation(read_packs(written(packs(claims), "packs")), df, _ADDRESSED)
+
+
+@query(f"SELECT {', '.join(_ADDRESSED)} FROM orders")
+def json_roundtrip(spark, d):
+    """All orders as JSON lines, read back and verified."""
+    from assertia.plans.tables import fresh_path
+    from assertia.sources.profile import read_claims, write_claims
 
-    rows = encode_relation(read(spark, d, "nation"), "nation").general().df.collect()
-    return spark.createDataFrame([(r["id"], r["author"], len(r["pointers"])) for r in unpack(pack(rows))], "id string, author string, pointers long")
+    df, claims = addressed_orders(spark, d)
+    path = fresh_path(spark, "lines")
+    write_claims(claims, path)
+    return decode_relation(ClaimSet(read_claims(spark.read.text(path)).where("reason is null").drop("reason")), df, _ADDRESSED)

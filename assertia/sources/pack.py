@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from assertia.functions.blake3 import content_address, content_addresses
 from assertia.functions.body import claim_body
 from assertia.functions.canon import decode, encode
-from assertia.operators.claims import LANES, RANKS
+from assertia.operators.claims import CLAIM_DDL, COLUMNS, LANES, RANKS, ClaimSet
 from assertia.plans.vocabulary import Vocabulary
 
 VERSION = 1.0
@@ -44,7 +48,7 @@ def pack(rows: Iterable[Any], vocabulary: Vocabulary | None = None) -> bytes:
         elif p["kind"] == "y":
             own |= {"m": at[p["mime"]], "y": bytes(p["bytes"])}
         else:
-            own |= [{"b": p["bool"]}, {"n": p["num"]}, {"s": at.get(p["str"])}][p["rank"]]
+            own |= [{"b": p["bool"]}, {"n": p["num"]}, {"s": at.get(p["str"])}][int(p["rank"])]
         return own if p["context"] is None else own | {"c": at[p["context"]]}
 
     def record(r: Any) -> dict:
@@ -102,3 +106,33 @@ def unpack(data: bytes) -> list[dict]:
 
 def pack_id(data: bytes) -> str:
     return content_address(data)
+
+
+#: Claims of one pack of a larger set: some megabytes, made in one task.
+PACK_CLAIMS = 20_000
+
+
+def packs(claims: ClaimSet, vocabulary: Vocabulary | None = None, size: int = PACK_CLAIMS) -> DataFrame:
+    """``(part, pack)``: a set as packs of about ``size`` claims, dealt by their ids, which are distinct, so that no pack grows with the set. A
+    member is written relative to its manifest only where both are dealt to one pack; read together, the packs are the set again. An empty set
+    has no packs."""
+    parts = -(-claims.df.count() // size)
+    of = F.pmod(F.xxhash64("id"), F.lit(max(1, parts))).alias("part")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [r | {"sig": r["sig"] if isinstance(r["sig"], str) else None} for r in pdf[COLUMNS].to_dict("records")]
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "pack": [pack(rows, vocabulary)]})
+
+    return claims.df.select(of, *COLUMNS).groupBy("part").applyInPandas(one, "part long, pack binary")
+
+
+def read_packs(held: DataFrame, column: str = "pack") -> ClaimSet:
+    """The claims of a column of packs (``content`` of files read as ``binaryFile``); every id is recomputed and must agree. A claim of several packs
+    counts once."""
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf[column]:
+                yield pd.DataFrame([tuple(r[k] for k in COLUMNS) for r in unpack(bytes(data))], columns=COLUMNS)
+
+    return ClaimSet(held.select(column).mapInPandas(opened, CLAIM_DDL).dropDuplicates(["id"]))

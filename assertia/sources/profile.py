@@ -136,3 +136,18 @@ def read_claims(lines: DataFrame, column: str = "value") -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "author", "timestamp", "pointers", "sig", "reason"])
 
     return lines.select(column).mapInPandas(run, f"{CLAIM_DDL}, reason string")
+
+
+@F.pandas_udf(T.StringType())
+def claim_line(id: pd.Series, author: pd.Series, timestamp: pd.Series, pointers: pd.Series, sig: pd.Series) -> pd.Series:
+    """Claim rows as lines of the JSON profile, ``{id, claims, sig?}``."""
+    out = []
+    for i, a, t, p, s in zip(id, author, timestamp, pointers, sig, strict=True):
+        item = {"id": i, "claims": claim_json({"author": a, "timestamp": t, "pointers": p})}
+        out.append(json.dumps(item if s is None else item | {"sig": s}, ensure_ascii=False))
+    return pd.Series(out, dtype=object)
+
+
+def write_claims(claims: ClaimSet, path: str) -> None:
+    """A set as JSON lines, which ``read_claims(spark.read.text(path))`` reads back. Ids must be content addresses to be admitted there."""
+    claims.df.select(claim_line("id", "author", "timestamp", "pointers", "sig").alias("value")).write.text(path)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assertia.operators import claims as sets
 from assertia.operators.claims import ClaimSet
+from assertia.plans.tables import written
 from assertia.plans.vocabulary import Vocabulary
 
 
@@ -67,13 +67,50 @@ def pull(own: ClaimSet, theirs: ClaimSet, admit: Column | None = None, vocabular
     return sets.union(own, ClaimSet(offered.select(*sets.COLUMNS)))
 
 
-def digest(claims: ClaimSet) -> str:
-    """The address of a set's sorted ids. The ids pass through the driver one partition at a time; the encoded list itself must fit it."""
-    from assertia.functions.blake3 import content_address
-    from assertia.functions.canon import encode
+#: Bytes of a part that one task hashes, a power of two of the hash function's chunks, and subtrees that one task merges.
+PART, FAN = 1 << 20, 1 << 14
 
-    def ids() -> Iterator[str]:
-        for r in claims.df.select("id").orderBy("id").toLocalIterator():
-            yield r.id
 
-    return content_address(encode(list(ids())))
+def digest(claims: ClaimSet) -> str:
+    """The address of a set's sorted ids, as the canonical list of them.
+
+    The hash function is a tree: the sorted ids get their places in the list's bytes, tasks hash parts of a mebibyte, and subtrees are merged by
+    further tasks until one round fits the driver. An empty set has the empty list's address; equal ids count once.
+    """
+    from assertia.functions.blake3 import CHUNK, MULTIHASH, content_address, merged_value, part_value
+    from assertia.functions.canon import encode, head
+
+    spark = claims.df.sparkSession
+    size = F.octet_length("id")
+    long = size + F.when(size < 24, 1).when(size < 1 << 8, 2).when(size < 1 << 16, 3).otherwise(5)
+    ids = claims.df.select("id").distinct().orderBy("id").select("id", long.cast("long").alias("size"), F.spark_partition_id().alias("part"))
+    ids = written(ids, "digest-ids")
+    parts = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).orderBy("part").collect()  # one row a partition
+    start = head(4, sum(p.n for p in parts))
+    total = len(start) + sum(p["size"] for p in parts)
+    if total <= PART:
+        return content_address(encode([r.id for r in ids.orderBy("id").collect()]))
+    at, places = len(start), []
+    for p in parts:
+        places.append((p.part, at))
+        at += p["size"]
+    before = F.sum("size").over(W.partitionBy("part").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
+    placed = ids.join(F.broadcast(spark.createDataFrame(places, "part int, base long")), "part").select("id", "size", (F.col("base") + F.coalesce(before, F.lit(0))).alias("at"))
+    blocks = F.sequence(F.floor(F.col("at") / PART), F.floor((F.col("at") + F.col("size") - 1) / PART))
+
+    def hashed(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        out = bytearray(start if block == 0 else b"")
+        for i, o in pdf[["id", "at"]].sort_values("at").itertuples(index=False):
+            out += encode(i)[max(0, block * PART - o) : max(0, (block + 1) * PART - o)]
+        return pd.DataFrame({"block": [block], "value": [part_value(bytes(out), block * (PART // CHUNK))]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(pdf["up"].iloc[0])], "value": [merged_value(list(pdf.sort_values("block")["value"]), False)]})
+
+    values = written(placed.withColumn("block", F.explode(blocks)).groupBy("block").applyInPandas(hashed, "block long, value binary"), "digest-values")
+    n = -(-total // PART)
+    while n > FAN:
+        values = written(values.withColumn("up", F.floor(F.col("block") / FAN)).groupBy("up").applyInPandas(merged, "block long, value binary"), "digest-values")
+        n = -(-n // FAN)
+    return (MULTIHASH + merged_value([bytes(r.value) for r in values.orderBy("block").collect()], True)).hex()  # at most FAN values

@@ -242,6 +242,36 @@ def test_federation(spark):
     assert digest(own) != digest(theirs) and digest(pull(own, theirs)) == digest(pull(pull(own, theirs), theirs))
 
 
+@pytest.mark.parametrize(("part", "fan"), [(1024, 2), (4096, 4), (1 << 20, 1 << 14)])
+def test_digest_in_parts(spark, monkeypatch, part, fan):
+    from pyspark.sql import functions as F
+
+    from assertia.functions.blake3 import content_address
+    from assertia.functions.canon import encode
+    from assertia.streaming import federation
+
+    monkeypatch.setattr(federation, "PART", part)
+    monkeypatch.setattr(federation, "FAN", fan)
+    df = spark.range(700).select(F.concat(F.lit("i"), F.repeat(F.lit("\u00e9"), F.pmod(F.col("id") * 7, F.lit(150)).cast("int")), F.col("id").cast("string")).alias("id"))
+    want = content_address(encode(sorted((r.id for r in df.collect()), key=str.encode)))
+    assert digest(ClaimSet(df.union(df.limit(3)))) == want
+    assert digest(ClaimSet(df.where("false"))) == content_address(encode([]))
+
+
+def test_packs_and_lines_of_a_set(spark, tmp_path):
+    from assertia.sources.pack import packs, read_packs
+    from assertia.sources.profile import write_claims
+
+    claims = claim_set(spark, [*MIXED, negation(address(MIXED[0]))])
+    want = sorted(claims.df.collect())
+    got = packs(claims, size=3)
+    assert got.count() > 1 and sorted(read_packs(got.union(got)).df.collect()) == want
+    assert packs(ClaimSet(claims.df.where("false"))).count() == 0
+    write_claims(claims, str(tmp_path / "lines"))
+    back = read_claims(spark.read.text(str(tmp_path / "lines")))
+    assert sorted(back.where("reason is null").drop("reason").collect()) == want
+
+
 def test_derivation_modes(spark):
     made = Derivation("sum", {"of": ("e", "str", "total"), "total": ("p", "num", None)}, key=("of",))
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "of string, total double")

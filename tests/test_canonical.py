@@ -29,7 +29,7 @@ def test_shortest_floats():
     assert C.encode({"bb": 1.0, "a": True, "b": False}).hex() == "a36161f56162f4626262f93c00"
 
 
-@pytest.mark.parametrize("data", [b"\x01", b"\xf6", b"\x9f\xff", b"\xa1\xf5\xf5", b"\xf5\xf5", b"\xc0\x60", b"\x62a", b"\xa2\x61a\xf5\x61a\xf5", b"\xf9\x7c\x00", b"\x62\xff\xff"])
+@pytest.mark.parametrize("data", [b"\x01", b"\xf6", b"\x9f\xff", b"\xa1\xf5\xf5", b"\xf5\xf5", b"\xc0\x60", b"\x62a", b"\xa2\x61a\xf5\x61a\xf5", b"\xf9\x7c\x00", b"\x62\xff\xff", b"\x78\x01a", b"\x98\x00", b"\xfa\x3f\xc0\x00\x00", b"\xf9\x80\x00", b"\xa2\x61b\xf5\x61a\xf5"])
 def test_strict_decoding(data):
     with pytest.raises(ValueError):
         C.decode(data)
