@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is its embedding (words outside the training vocabulary share none: a zero vector) beside the mean embedding of its
-hashed character 3- and 4-grams. Windows of 32 words, 16 apart, cover a text; the last one ends with it. A window's
-states are pooled by learned attention into a logit, and a text's score is its highest window's.
+hashed character 3- and 4-grams. All overlapping windows of 32 words, one from every word on that has 31 after it, are
+scored; a shorter text is one window. A window's states are pooled by learned attention into a logit, and a text's score is its highest window's.
 
 Training takes a bounded sample (``MAX_ROWS``, toxic ones up to a third of it) of labelled rows chosen by a hash of the id, and a fixed number of
 steps: first random windows under their text's label, then each text's highest window, chosen anew now and then,
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from assertia.llm.common import column, slices, texts
 
-SIZE, STRIDE = 32, 16
+SIZE = 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_BITS = 14
 MAX_ROWS, VOCABULARY, LEAST_SEEN = 12_000, 30_000, 10
-BATCH = 4096
+#: Windows scored at once.
+BATCH = 1024
 THRESHOLD = 0.7
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -39,11 +40,6 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the windows that cover ``n`` words."""
-    return [*range(0, max(1, n - SIZE + 1), STRIDE)] + ([n - SIZE] if n > SIZE and (n - SIZE) % STRIDE else [])
-
-
 def gram_codes(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character 3- and 4-grams of each word with its edges marked, flat and word by word, and their number in each word."""
     data = np.frombuffer(b"".join(b"<" + w + b">" for w in distinct) + b"\0", np.uint8).astype(np.uint32)
@@ -161,8 +157,37 @@ class Network:
         np.add.at(g["char"], codes, np.repeat(dvec[:, WORD_DIM:] / counts[:, None], counts, axis=0))
         return g
 
+    def every_window(self, x: np.ndarray) -> np.ndarray:
+        """Logits of the windows from each column of ``x`` on that has ``SIZE - 1`` after it; columns are projected words in their order.
+
+        The same network as ``forward``, laid out by units: a step reads its inputs for all windows as one run of columns.
+        """
+        p, n, count = self.p, HIDDEN, x.shape[1] - SIZE + 1
+        states = np.empty((SIZE, 2 * n, count), np.float32)
+        for low, u, order in ((0, p["uf"], range(SIZE)), (n, p["ub"], range(SIZE - 1, -1, -1))):
+            side, turned, h = x[3 * low : 3 * low + 3 * n], np.ascontiguousarray(u.T), np.zeros((n, count), np.float32)
+            for t in order:
+                now, g = side[:, t : t + count], turned @ h
+                gates = g[: 2 * n]
+                gates += now[: 2 * n]
+                np.exp(np.negative(gates, out=gates), out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new = g[2 * n :]
+                new *= gates[n:]
+                new += now[2 * n :]
+                np.tanh(new, out=new)
+                h = h - new
+                h *= gates[:n]
+                h += new
+                states[t, low : low + n] = h
+        inner = np.tanh(np.matmul(np.ascontiguousarray(p["a"].T), states))
+        e = np.matmul(p["v"], inner)
+        alpha = np.exp(e - e.max(axis=0))
+        return (np.matmul(p["o"], states) * alpha).sum(axis=0) / alpha.sum(axis=0) + p["c"][0]
+
     def scores(self, batch: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Highest window logit of each text, and that window's number."""
+        """Highest window logit of each text, and where that window starts."""
         code: dict[bytes, int] = {}
         flat: list[np.ndarray] = []
         for t in batch:
@@ -170,17 +195,16 @@ class Network:
             flat.append(np.fromiter((code.setdefault(x, len(code)) for x in w), np.int64, len(w)))
         projected = (self.inputs(list(code))[0] @ self.p["w"] + self.p["b"]) if code else np.zeros((1, 6 * HIDDEN), np.float32)
         best, which = np.full(len(batch), -np.inf), [0] * len(batch)
-        long = [(k, i, s) for k, f in enumerate(flat) if len(f) >= SIZE for i, s in enumerate(window_starts(len(f)))]
-        spots = np.arange(SIZE)
-        offsets = np.r_[0, np.cumsum([len(f) for f in flat])]
-        every = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        for i in range(0, len(long), BATCH):
-            part = long[i : i + BATCH]
-            begin = np.array([offsets[k] + s for k, _, s in part])
-            logits, _ = self.forward(projected, every[begin[None, :] + spots[:, None]], None)
-            for (k, w, _), x in zip(part, logits.tolist(), strict=True):
-                if x > best[k]:
-                    best[k], which[k] = x, w
+        long = [k for k, f in enumerate(flat) if len(f) >= SIZE]
+        if long:
+            run, units = np.concatenate([flat[k] for k in long]), np.ascontiguousarray(projected.T)
+            logits = np.concatenate([self.every_window(units[:, run[i : i + BATCH + SIZE - 1]]) for i in range(0, len(run) - SIZE + 1, BATCH)])
+            begin = 0
+            for k in long:  # windows across the border of two texts are passed over
+                own = logits[begin : begin + len(flat[k]) - SIZE + 1]
+                which[k] = int(own.argmax())
+                best[k] = own[which[k]]
+                begin += len(flat[k])
         short = [k for k, f in enumerate(flat) if len(f) < SIZE]
         for i in range(0, len(short), BATCH):
             part = short[i : i + BATCH]
@@ -216,7 +240,6 @@ def train(rows: list[tuple[bytes, int]], *, steps: tuple[int, int] = (300, 600),
         return net
     rng = np.random.default_rng(seed)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    starts = [window_starts(len(c)) for c in coded]
     highest, hard = [0] * len(rows), clean
     for t in range(1, sum(steps) + 1):
         late = t > steps[0]
@@ -226,7 +249,7 @@ def train(rows: list[tuple[bytes, int]], *, steps: tuple[int, int] = (300, 600),
             hard = clean[np.argsort(-logits[clean])[: max(32, len(clean) // 20)]]
         thirds = [(side, batch // 3) for side in (toxic, hard if late else clean, clean) if len(side)]
         chosen = np.concatenate([rng.choice(side, n) for side, n in thirds])
-        picks = [(int(k), starts[k][highest[k]] if late else starts[k][rng.integers(len(starts[k]))]) for k in chosen]
+        picks = [(int(k), highest[k] if late else int(rng.integers(max(1, len(coded[k]) - SIZE + 1)))) for k in chosen]
         distinct, at, mask = _windows_of(coded, picks)
         weight = np.full(len(chosen), 1 / len(chosen), np.float32)
         grads = net.gradients([every[w] for w in distinct], at, mask, labels[chosen], weight, rng.random(len(distinct)) < masked)

@@ -21,13 +21,6 @@ def corpus(n, seed):
     return rows
 
 
-def test_windows_cover():
-    for n in range(0, 200):
-        starts = T.window_starts(n)
-        assert {i for s in starts for i in range(s, min(n, s + T.SIZE))} == set(range(n))
-        assert all(s + T.SIZE <= n or n < T.SIZE for s in starts)
-
-
 def test_gradients_match_differences():
     words = [b"alpha", b"be", b"c", "délta".encode()]
     net = T.Network(words[:2])
@@ -105,8 +98,7 @@ def plain_score(net, text):
     if not w:
         return p["c"][0]
     xs, best = [vector(x) for x in w], -math.inf
-    starts = {0, *(s for s in range(0, len(w), T.STRIDE) if s + T.SIZE <= len(w)), max(0, len(w) - T.SIZE)}
-    for s in starts:
+    for s in range(max(1, len(w) - T.SIZE + 1)):
         part = xs[s : s + T.SIZE]
         ahead = direction([x[: 3 * h_] for x in part], p["uf"])
         back = direction([x[3 * h_ :] for x in part][::-1], p["ub"])[::-1]
@@ -122,7 +114,10 @@ def plain_score(net, text):
 def test_scores_against_plain_loops():
     rows = [(t.encode(), y) for _, t, y in corpus(150, 4)]
     net = T.train(rows, steps=(20, 20))
-    tried = [rows[0][0], b"", b"...", b"one", "Grobl ÉTÉ zwickung 77".encode(), rows[1][0] * 3, b" ".join([b"ban"] * 32), b" ".join([b"ban"] * 33), b"x y" * 70]
+    tried = [rows[0][0], b"", b"...", b"one", "Grobl ÉTÉ zwickung 77".encode(), rows[1][0] * 3, b" ".join([b"ban"] * 32), b" ".join([b"ban"] * 33), b"x y" * 70, rows[2][0], rows[3][0] + b" grobl"]
+    T.BATCH, kept = 32, T.BATCH
     got, _ = net.scores(tried)
+    T.BATCH = kept
+    assert np.allclose(got, net.scores(tried)[0], atol=1e-4)
     for text, score in zip(tried, got.tolist(), strict=True):
         assert abs(score - plain_score(net, text)) < 1e-3 * max(1, abs(score))
