@@ -128,6 +128,23 @@ def test_components(spark):
     assert got == {(x, root(x)) for x in list(parent)}
 
 
+def test_components_plan_no_rounds_for_what_a_task_holds(spark, monkeypatch):
+    from assertia.llm import components as C
+
+    tables, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: tables.append(label) or write(df, label))
+    names = list(range(300))
+    random.Random(5).shuffle(names)
+    pairs = [*zip(names, names[1:]), *((1000, 1000 + i) for i in range(1, 90)), (2001, 2000), (2000, 2001)]
+    want = {(x, 0) for x in names} | {(1000 + i, 1000) for i in range(90)} | {(2000, 2000), (2001, 2000)}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    assert {(r.node, r.comp) for r in components(edges).collect()} == want
+    assert len(tables) == 2  # star rounds write one each
+    assert components(edges.limit(0)).count() == 0
+    parts = components(edges, run=60).collect()  # what several runs leave apart
+    assert len(parts) == len(want) and {(r.node, r.comp) for r in parts} == want
+
+
 def test_sub_keys_follow_similarity():
     m = N.multipliers_of(10, 3)
     rng = np.random.default_rng(1)
