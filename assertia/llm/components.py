@@ -1,7 +1,7 @@
 """Connected components of an edge table: contraction inside tasks, then alternating large-star and small-star steps for what several tasks hold.
 
 A task contracts its edges, at most ``RUN`` at a time, to one edge from each node to the least node that those reach. Where all edges fit one run, that is the
-result, and takes the driver two plans instead of two for each star round; else the star rounds connect what the runs leave apart.
+result, and takes the driver three jobs' plans instead of two for each star round; else the star rounds connect what the runs leave apart.
 """
 
 from __future__ import annotations
