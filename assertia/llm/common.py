@@ -9,7 +9,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assertia.plans.tables import fresh_path, shared_dir  # noqa: F401  one definition of the shared folder
+from assertia.plans.tables import dealt, fresh_path, shared_dir  # noqa: F401  one definition of the shared folder
 from assertia.plans.tables import written as materialize
 
 #: Rows are cut into pieces of about this many text bytes before Python objects are made of them.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assertia.llm.common import column, materialize
+from assertia.llm.common import column, dealt, materialize
 
 #: Edges that a task holds at a time, some 100 MB with what is made of them.
 RUN = 1 << 20
@@ -63,7 +63,7 @@ def _contracted(edges: DataFrame, run: int) -> DataFrame:
 
 def components(edges: DataFrame, run: int = RUN) -> DataFrame:
     """``(node, comp)`` for every node of the edges ``(u, v)``, comp being the least node of its component. Each round is a written
-    table; neighbours meet their node's least neighbour by a join, never in a list."""
+    table; neighbours meet their node's least neighbour by a join, never in a list. Where there are many, joins with the result are not broadcast."""
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     n = edges.count()
     edges = materialize(_contracted(edges.coalesce(-(-n // run) or 1), run), "edges")
@@ -71,12 +71,13 @@ def components(edges: DataFrame, run: int = RUN) -> DataFrame:
     while seen:  # every round but the last lessens the sum of the edges' ends, so this ends; in practice in some log rounds
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt(least, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(dealt(least, 2 * n), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "edges")
         now = _fingerprint(edges)
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return dealt(found, 2 * n)

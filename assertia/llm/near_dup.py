@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assertia.llm.common import column, materialize, packed, slices, texts, unpacked
+from assertia.llm.common import column, dealt, materialize, packed, slices, texts, unpacked
 from assertia.llm.common import own as named
 from assertia.llm.components import components
 
@@ -121,8 +121,8 @@ def _buckets(nodes: DataFrame, subkeys: int, *extra: str) -> DataFrame:
     return first.select("node", *extra, "a", F.explode("bs").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", *extra)
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The written table ``(node, set)`` of the wanted nodes, made of one document's text each."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, many: int, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The written table ``(node, set)`` of the wanted nodes, ``many`` at most, made of one document's text each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -131,23 +131,24 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, *, id_col:
 
     reps = nodes.join(wanted, "node", "left_semi").select(F.xxhash64("rep.id", "rep.th").alias("k"), F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"), "node")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("t")).withColumn("k", F.xxhash64("id", "th"))
-    found = rows.join(reps, "k").where(F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("node", "t")
+    found = rows.join(dealt(reps, many), "k").where(F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("node", "t")
     return materialize(found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, many: int, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets_ = [[np.frombuffer(x, np.uint64) for x in column(batch, c).to_pylist()] for c in ("su", "sv")]
             good = pa.array([_similar(a, b, percent) for a, b in zip(*sets_, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(good), column(batch, "v").filter(good)], ["u", "v"])
 
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+    su, sv = (dealt(sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")), many) for c in "uv")
+    both = pairs.join(su, "u").join(sv, "v")
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _rest(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between different components of a unit: ``candidates`` are ``(unit, node, comp, minor)``. Blocks of minor nodes
+def _rest(candidates: DataFrame, sets: DataFrame, many: int, percent: int) -> DataFrame:
+    """Confirmed links between different components of a unit: ``candidates`` are ``(unit, node, comp, minor)``, ``many`` at most. Blocks of minor nodes
     meet blocks of all nodes of their unit; a task emits one link for each minor node and component."""
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,13 +173,13 @@ def _rest(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sized = candidates.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("all_blocks"), F.greatest(F.lit(1), F.ceil(F.sum("minor") / BLOCK)).alias("minor_blocks")
     counts = materialize(sized.groupBy("unit").agg(*blocks), "units")
-    placed = sized.join(counts, "unit").join(sets, "node")
+    placed = sized.join(dealt(counts, many), "unit").join(dealt(sets, many), "node")
     minors = placed.where("minor = 1").select("unit", F.pmod("slot", "minor_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"), "node", "comp", "set")
     everyone = placed.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("x"), F.pmod("slot", "all_blocks").alias("y"), F.lit(1).alias("side"), "node", "comp", "set")
     return minors.unionByName(everyone).groupBy("unit", "x", "y").applyInPandas(block, "u long, v long")
 
 
-def _units(open_: DataFrame) -> DataFrame:
+def _units(open_: DataFrame, many: int) -> DataFrame:
     """``(unit, node, comp, minor)``: what is compared with each other, of the open buckets' members ``(key, node, comp, least)``. A unit is a group of
     buckets, or one bucket, whichever moves fewer rows for the group."""
     groups = components(open_.select(F.col("comp").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("comp"), F.col("comp").alias("grp"))
@@ -189,32 +190,37 @@ def _units(open_: DataFrame) -> DataFrame:
         main = sizes.groupBy("unit").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
         moved = F.col("rest") * F.ceil(F.col("all") / BLOCK) + F.col("all") * F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))
         main = materialize(main.select("unit", "main", moved.alias("moved")), "mains")
-        return units.join(main, "unit").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
+        return units.join(dealt(main, many), "unit").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
 
     by_group = parted(members.select(F.xxhash64(F.lit("group"), "grp").alias("unit"), "grp", "node", "comp").distinct())
     by_bucket = parted(members.select(F.xxhash64(F.lit("bucket"), "key").alias("unit"), "grp", "node", "comp"))
     one = by_group.select("grp", "unit", "moved").distinct().select("grp", F.col("moved").alias("as_one"))
     each = by_bucket.select("grp", "unit", "moved").distinct().groupBy("grp").agg(F.sum("moved").alias("as_buckets"))
-    way = materialize(one.join(each, "grp").select("grp", (F.col("as_buckets") < F.col("as_one")).alias("bucketwise")), "ways")
+    way = materialize(one.join(dealt(each, many), "grp").select("grp", (F.col("as_buckets") < F.col("as_one")).alias("bucketwise")), "ways")
     columns = ("unit", "node", "comp", "minor")
+    way = dealt(way, many)
     return by_group.join(way.where("not bucketwise"), "grp").select(*columns).unionByName(by_bucket.join(way.where("bucketwise"), "grp").select(*columns))
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int, subkeys: int, percent: int) -> DataFrame:
     """Confirmed links between nodes, enough to connect whatever confirmed candidate pairs connect."""
-    keys = _buckets(nodes, subkeys)
+    keys, n = _buckets(nodes, subkeys), nodes.count()
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    star = materialize(keys.join(shared, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "star")
+    star = materialize(keys.join(dealt(shared, n * subkeys**2), "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "star")
     wanted = star.select(F.col("u").alias("node")).unionByName(star.select(F.col("v").alias("node"))).distinct()
-    sets = _full_sets(docs, nodes, wanted, id_col=id_col, text_col=text_col, shingle=shingle)
-    first = materialize(_confirmed(star, sets, percent), "links")
+    many = min(n, 2 * star.count())
+    wanted = dealt(wanted, many)
+    sets = _full_sets(docs, nodes, wanted, many, id_col=id_col, text_col=text_col, shingle=shingle)
+    first = materialize(_confirmed(star, sets, many, percent), "links")
     label = components(first)
     # what shares a bucket but no component yet
     inside = nodes.join(wanted, "node", "left_semi").join(label, "node", "left").select("node", "subs", F.coalesce("comp", "node").alias("comp"))
     keys = _buckets(inside, subkeys, "comp")
     mixed = keys.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key", "least")
-    open_ = materialize(keys.join(mixed, "key").select("key", "node", "comp", "least").distinct(), "open")
-    second = materialize(_rest(_units(open_), sets, percent), "links")
+    mixed = materialize(mixed, "mixed")
+    open_ = materialize(keys.join(dealt(mixed, mixed.count()), "key").select("key", "node", "comp", "least").distinct(), "open")
+    many = open_.count()
+    second = materialize(_rest(_units(open_, many), sets, many, percent), "links")
     return first.unionByName(second)
 
 
@@ -227,8 +233,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     label = components(links(docs, nodes, id_col=id_col, text_col=text_col, shingle=shingle, subkeys=subkeys, percent=percent))
     own = materialize(nodes.select("node", "set_key", "rep").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labels")
     best = materialize(own.groupBy("comp").agg(F.min("rep").alias("best")), "best")  # written, so that the join on a hot component can be split
-    of_set = own.join(best, "comp").select("set_key", "best")
-    out = sig.select("id", "th", "n", "set_key").join(of_set, "set_key", "left")
+    n = own.count()
+    of_set = own.join(dealt(best, n), "comp").select("set_key", "best")
+    out = sig.select("id", "th", "n", "set_key").join(dealt(of_set, n), "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("best.id"))
     stays = F.col("set_key").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("th") == F.col("best.th")))
     return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), stays.alias("stays"))
@@ -239,6 +246,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     staying = classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("stays").groupBy("id", "th", "n_shingles").count()
     staying = staying.select(F.xxhash64("id", "th").alias("k"), F.col("id").alias("of"), F.col("th").alias("of_th"), F.when(F.col("n_shingles") > 0, 1).otherwise(F.col("count")).alias("copies"))
     rows = packed(docs, named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("th")).withColumn("k", F.xxhash64("id", "th"))
-    found = rows.join(staying, "k").where(F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    found = rows.join(dealt(staying), "k").where(F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
     single = found.where("copies = 1").dropDuplicates(["k", "of", "of_th"])
     return unpacked(single.unionByName(found.where("copies > 1")))

@@ -22,3 +22,20 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def broadcast_joins(spark, monkeypatch):
+    """A function that gives the plans, run since the test began, of joins that broadcast a side; no side counts as small."""
+    from assertia.plans import tables
+
+    monkeypatch.setattr(tables, "FEW", 0, raising=False)
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = plans()
+    return lambda: [p for k, p in plans().items() if k not in before and "BroadcastHashJoin" in p]

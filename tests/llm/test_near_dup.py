@@ -53,6 +53,15 @@ def test_against_brute_force(spark, k):
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, k)
 
 
+def test_no_side_that_grows_is_broadcast(spark, broadcast_joins):
+    rows = corpus(3, 9, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.classes(df, shingle=2).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
+    assert N.deduplicate(df, shingle=2).count() > 3
+    assert broadcast_joins() == []
+
+
 def test_block_comparison_finds_what_leaders_miss(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 7)
     rows = corpus(2, 60, 5)
