@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assertia.operators.claims import ClaimSet
-from assertia.plans.tables import written
+from assertia.plans.tables import dealt, written
 
 NEGATES = "negates"
 
@@ -42,24 +42,24 @@ def negated(claims: ClaimSet, trusted: Column | None = None) -> DataFrame:
     """Keys ``(root?, id)`` of the negated claims."""
     root = ["root"] if claims.rooted else []
     edges = written(negations(claims, trusted), "negations")
-    if edges.join(edges.select(*root, F.col("t").alias("n")).distinct(), [*root, "n"], "left_semi").isEmpty():
-        return edges.select(*root, F.col("t").alias("id")).distinct()
+    many, targets = edges.count(), edges.select(*root, F.col("t").alias("n")).distinct()
+    if edges.join(dealt(targets, many), [*root, "n"], "left_semi").isEmpty():
+        return dealt(edges.select(*root, F.col("t").alias("id")).distinct(), many)
     path = contracted(edges, root)
     # a negator is an end of its path, whose state or (odd) its opposite it has
-    open_ = edges.join(path, [*root, "n"], "left").select(*root, F.coalesce("end", "n").alias("n"), F.coalesce("odd", F.lit(0)).alias("odd"), "t").distinct()
-    targets = edges.select(*root, F.col("t").alias("n")).distinct()
-    fresh = written(open_.select(*root, "n").distinct().join(targets, [*root, "n"], "left_anti").withColumn("hit", F.lit(0)), "settled")
+    open_ = edges.join(dealt(path, many), [*root, "n"], "left").select(*root, F.coalesce("end", "n").alias("n"), F.coalesce("odd", F.lit(0)).alias("odd"), "t").distinct()
+    fresh = written(open_.select(*root, "n").distinct().join(dealt(targets, many), [*root, "n"], "left_anti").withColumn("hit", F.lit(0)), "settled")
     open_, struck = written(open_, "open"), None
     while not fresh.isEmpty():
-        known = written(open_.join(fresh, [*root, "n"], "left").withColumn("negates", F.lit(1) - F.col("hit").bitwiseXOR(F.col("odd"))), "known")
+        known = written(open_.join(dealt(fresh, many), [*root, "n"], "left").withColumn("negates", F.lit(1) - F.col("hit").bitwiseXOR(F.col("odd"))), "known")
         votes = known.groupBy(*root, "t").agg(F.max("negates").alias("struck"), F.count("hit").alias("told"), F.count(F.lit(1)).alias("all"))
         decided = written(votes.where("struck = 1 or told = all").select(*root, F.col("t").alias("n"), F.coalesce("struck", F.lit(0)).alias("hit")), "decided")
         hit = decided.where("hit = 1").select(*root, F.col("n").alias("id"))
         struck = hit if struck is None else struck.unionByName(hit)
         # what is decided needs no edges any more, and a negator that strikes nothing no edge
-        left = known.where("hit is null").select(*root, "n", "odd", "t").join(decided.select(*root, F.col("n").alias("t")), [*root, "t"], "left_anti")
+        left = known.where("hit is null").select(*root, "n", "odd", "t").join(dealt(decided.select(*root, F.col("n").alias("t")), many), [*root, "t"], "left_anti")
         open_, fresh = written(left, "open"), decided
-    return struck
+    return dealt(struck, many)
 
 
 def contracted(edges: DataFrame, root: list[str]) -> DataFrame:
@@ -67,9 +67,10 @@ def contracted(edges: DataFrame, root: list[str]) -> DataFrame:
     single = edges.groupBy(*root, "t").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("by")).where("c = 1")
     path = written(single.select(*root, F.col("t").alias("n"), F.col("by").alias("end"), F.lit(1).alias("odd")), "paths")
     # as many doublings as a path through all claims needs; what moves after that goes in a circle
-    for _ in range(path.count().bit_length() + 1):
+    many = path.count()
+    for _ in range(many.bit_length() + 1):
         on = path.select(*root, F.col("n").alias("end"), F.col("end").alias("further"), F.col("odd").alias("more"))
-        longer = path.join(on, [*root, "end"], "left")
+        longer = path.join(dealt(on, many), [*root, "end"], "left")
         path = written(longer.select(*root, "n", F.coalesce("further", "end").alias("end"), F.col("odd").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("odd"), F.col("further").isNotNull().alias("moved")), "paths")
         still = path.where("moved").isEmpty()
         path = path.drop("moved")

@@ -31,7 +31,7 @@ from assertia.operators.predicates import pointer_matches, str_match
 from assertia.operators.views import View
 from assertia.plans.planner import Planner, Resolved
 from assertia.plans.registry import Registry
-from assertia.plans.tables import fresh_path, written
+from assertia.plans.tables import dealt, fresh_path, written
 from assertia.plans.term import nodes, parse_schema, parse_term
 from assertia.plans.vocabulary import Vocabulary
 
@@ -235,14 +235,14 @@ class Reactor:
         assert isinstance(out, Resolved)
         return out
 
-    def _part(self, found: Resolved, roots: DataFrame | None, view: dict) -> dict:
-        """Writes one part of a view: the rows of its roots, which roots these are (None: all), and what entities they read."""
+    def _part(self, found: Resolved, roots: DataFrame | None, view: dict, many: int | None = None) -> dict:
+        """Writes one part of a view: the rows of its roots, which (and how many) roots these are (None: all), and what entities they read."""
         path, part = f"{self.path}/views/{uuid.uuid4().hex}", {}
         found.rows.select("root", "prop", "value", "items").write.parquet(f"{path}/rows")
         part["rows"] = f"{path}/rows"
         if roots is not None:
             roots.select("root").write.parquet(f"{path}/roots")
-            part["roots"] = f"{path}/roots"
+            part["roots"], part["many"] = f"{path}/roots", many
         if expands(view["term"]):
             support(found.view).write.parquet(f"{path}/support")
             part["support"] = f"{path}/support"
@@ -253,7 +253,7 @@ class Reactor:
         out = self.spark.createDataFrame([], ddl)
         for part in view["parts"]:
             if "roots" in part:
-                out = out.join(self.spark.read.schema("root string").parquet(part["roots"]), "root", "left_anti")
+                out = out.join(dealt(self.spark.read.schema("root string").parquet(part["roots"]), part.get("many")), "root", "left_anti")
                 out = out.unionByName(self.spark.read.schema(ddl).parquet(part[table]))
             else:
                 out = self.spark.read.schema(ddl).parquet(part[table])
@@ -294,14 +294,15 @@ class Reactor:
         path = f"{self.path}/batches/{number}-{uuid.uuid4().hex}"
         known = self.log().df.select("id")
         good = checked.where("reason is null").select(*COLUMNS).dropDuplicates(["id"])
-        self._write(good.join(known, "id", "left_anti"), "id", f"{path}/log")
+        self._write(good.join(dealt(known), "id", "left_anti"), "id", f"{path}/log")
         new = self.spark.read.schema(f"{CLAIM_DDL}, bucket int").parquet(f"{path}/log").drop("bucket")
+        many = new.count()
         fresh = new.select("id", F.lit(True).alias("fresh"))
-        outcomes = checked.select("id", "reason").distinct().join(fresh, "id", "left")
+        outcomes = checked.select("id", "reason").distinct().join(dealt(fresh, many), "id", "left")
         status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("fresh"), "accepted").otherwise("duplicate")
         outcomes = written(outcomes.select("id", status.alias("status"), "reason"), "outcomes")
         self.last = {"": outcomes}
-        if new.isEmpty():
+        if not many:
             return self.last
         self._write(new.select(F.explode(targets_of("e")).alias("entity"), *COLUMNS), "entity", f"{path}/targets")
         self._write(new.select(F.explode(negated_by()).alias("target"), *COLUMNS), "target", f"{path}/negations")
@@ -326,53 +327,58 @@ class Reactor:
 
     def touched(self, new: DataFrame) -> DataFrame:
         """``(root, id)``: entities that new claims name, or that the claims name which new negations reach down their chain, and the new claims responsible."""
-        entity = F.explode(targets_of("e")).alias("root")
-        found = new.select(entity, "id")
+        found = new.select(F.explode(targets_of("e")).alias("root"), "id")
         if not self.state["negations"]:
             return found.distinct()
         reached = seen = written(new.select(F.explode(negated_by()).alias("target"), "id").distinct(), "reached")
-        while not reached.isEmpty():  # chains have no cycles, so this ends
-            claims = written(self._read("log", reached.select("target")).join(reached.select(F.col("target").alias("id"), F.col("id").alias("by")).distinct(), "id"), "chain")
-            found = found.unionByName(claims.select(entity, F.col("by").alias("id")))
-            further = claims.select(F.explode(negated_by()).alias("target"), F.col("by").alias("id")).distinct()
-            reached = written(further.join(seen, ["target", "id"], "left_anti"), "reached")
+        met = 0
+        while many := reached.count():  # chains have no cycles, so this ends
+            met += many
+            said = self._read("log", reached.select("target")).select("id", targets_of("e").alias("entities"), negated_by().alias("targets"))
+            claims = written(said.join(dealt(reached.select(F.col("target").alias("id"), F.col("id").alias("by")), many), "id"), "chain")
+            found = found.unionByName(claims.select(F.explode("entities").alias("root"), F.col("by").alias("id")))
+            further = claims.select(F.explode("targets").alias("target"), F.col("by").alias("id")).distinct()
+            reached = written(further.join(dealt(seen, met), ["target", "id"], "left_anti"), "reached")
             seen = seen.unionByName(reached)
         return found.distinct()
 
-    def relevant(self, roots: DataFrame) -> ClaimSet:
-        """The claims that decide what stands at given roots: those that point at them, and all negations above these. From the indexes."""
-        claims = self._read("targets", roots).join(roots.select(F.col("root").alias("entity")), "entity", "left_semi").drop("entity").dropDuplicates(["id"])
+    def relevant(self, roots: DataFrame, many: int | None = None) -> ClaimSet:
+        """The claims that decide what stands at given roots (``many``, if that is known): those that point at them, and all negations above these. From the indexes."""
+        claims = self._read("targets", roots).join(dealt(roots.select(F.col("root").alias("entity")), many), "entity", "left_semi").drop("entity").dropDuplicates(["id"])
         if not self.state["negations"]:
             return ClaimSet(claims)
         claims = last = written(claims, "relevant")
+        held = many = claims.count()
         while True:
             ids = last.select(F.col("id").alias("target"))
-            above = self._read("negations", ids).join(ids, "target", "left_semi").drop("target").dropDuplicates(["id"])
-            last = written(above.join(claims.select("id"), "id", "left_anti"), "relevant")
-            if last.isEmpty():
+            above = self._read("negations", ids).join(dealt(ids, many), "target", "left_semi").drop("target").dropDuplicates(["id"])
+            last = written(above.join(dealt(claims.select("id"), held), "id", "left_anti"), "relevant")
+            many = last.count()
+            if not many:
                 return ClaimSet(claims)
-            claims = claims.unionByName(last)
+            claims, held = claims.unionByName(last), held + many
 
     def _refresh(self, view: dict, named: DataFrame) -> DataFrame:
         """Resolves again the roots that a batch touched, appends them to the view and returns what changed."""
-        roots = named.select("root").distinct()
+        roots, many = named.select("root").distinct(), None
         if not at_a_root(view["term"], self.registry):
             roots = None
         elif expands(view["term"]):
             by = self._latest(view, "support", "root string, entity string")
-            roots = roots.unionByName(by.join(roots.select(F.col("root").alias("entity")), "entity", "left_semi").select("root")).distinct()
+            roots = roots.unionByName(by.join(dealt(roots.select(F.col("root").alias("entity"))), "entity", "left_semi").select("root")).distinct()
         if roots is not None:
             if view["roots"] is not None:
                 roots = roots.where(F.col("root").isin(view["roots"]))
             roots = written(roots, "roots")
-            if roots.isEmpty():
+            many = roots.count()
+            if not many:
                 return self.spark.createDataFrame([], CHANGES_DDL)
         before = self._latest(view, "rows", ROWS_DDL)
         near = roots is not None and not expands(view["term"])
-        found = self._resolve(view, self.relevant(roots) if near else self.log(), roots)
-        part = self._part(found, roots, view)
+        found = self._resolve(view, self.relevant(roots, many) if near else self.log(), roots if roots is None else dealt(roots, many))
+        part = self._part(found, roots, view, many)
         rows = self.spark.read.schema(ROWS_DDL).parquet(part["rows"])
-        old = before if roots is None else before.join(roots, "root", "left_semi")
+        old = before if roots is None else before.join(dealt(roots, many), "root", "left_semi")
         changed = written(self._changed(old, rows), "changes")
         view["parts"] = [*view["parts"], part] if roots is not None else [part]
         if len(view["parts"]) > COMPACT:

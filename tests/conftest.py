@@ -29,7 +29,7 @@ def broadcast_joins(spark, monkeypatch):
     """A function that gives the plans, run since the test began, of joins that broadcast a side; no side counts as small."""
     from assertia.plans import tables
 
-    monkeypatch.setattr(tables, "FEW", 0, raising=False)
+    monkeypatch.setattr(tables, "FEW", -1, raising=False)
     sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
 
     def plans():

@@ -166,6 +166,18 @@ def test_incremental_equals_batch_in_any_order(spark):
     assert reactor.digest() == digest(claim_set(spark, claims))
 
 
+def test_a_reactor_broadcasts_no_side_that_grows(spark, broadcast_joins):
+    base = [about("a", "x", 1), about("b", "x", 2), about("a", "y", "s")]
+    first = negation(address(base[0]))
+    second = negation(address(first), at=10)
+    reactor = Reactor(spark, buckets=2)
+    reactor.register("v", TERM, SCHEMA)
+    for claims in ([base[0], base[2], first], [base[1], second], [negation(address(second), at=20)]):
+        reactor.ingest(claim_set(spark, claims).df)
+    assert sorted((r.root, r.prop) for r in reactor.view("v").collect()) == [("a", "y"), ("b", "x")]
+    assert broadcast_joins() == []
+
+
 def test_state_outlives_the_reactor(spark):
     reactor = Reactor(spark, buckets=2)
     reactor.register("v", TERM, SCHEMA)
